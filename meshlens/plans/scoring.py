@@ -49,10 +49,16 @@ def ranking(weighted: DataFrame, segments: DataFrame | None = None) -> DataFrame
 
     Segments without results get score 0 and grade F, as failed ones do.
     """
-    order = sorted(DEFAULT_WEIGHTS | TIER_WEIGHTS["tier3"])
-    worst = weighted.filter("score < 1.0 and metric <> 'layer_distance'").groupBy("segment_id").agg(F.min(F.struct("score", "metric"))["metric"].alias("worst_metric"))
-    wide = weighted.groupBy("segment_id").pivot("metric", [m for m in order]).agg(F.round(F.first("score"), 4))
-    out = aggregate(weighted).join(worst, "segment_id", "left").join(wide, "segment_id")
+    names = sorted(DEFAULT_WEIGHTS | TIER_WEIGHTS["tier3"])
+    total = F.sum("weight")
+    worst = F.when((F.col("score") < 1.0) & (F.col("metric") != "layer_distance"), F.struct("score", "metric"))
+    # one aggregate: the metrics are computed once
+    out = weighted.groupBy("segment_id").agg(
+        F.when(total > 0, F.sum(F.col("score") * F.col("weight")) / total).otherwise(0.0).alias("aggregate_score"),
+        F.min(worst)["metric"].alias("worst_metric"),
+        *(F.round(F.max(F.when(F.col("metric") == m, F.col("score"))), 4).alias(m) for m in names),
+    )
+    out = out.withColumn("grade", letter_grade(F.col("aggregate_score"))).select("segment_id", "aggregate_score", "grade", "worst_metric", *names)
     if segments is not None:
         out = segments.select("segment_id").join(out, "segment_id", "left")
         out = out.withColumn("aggregate_score", F.coalesce("aggregate_score", F.lit(0.0))).withColumn("grade", F.coalesce("grade", F.lit("F")))
