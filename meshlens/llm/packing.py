@@ -25,7 +25,10 @@ repeated id are packed like any other.  Empty tables give empty results.
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -38,7 +41,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-MEMO_WORDS = 300_000
+MEMO_WORDS = 250_000
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PROBES = ("The", "thanedble,", "Éaux.", "weiß!!", "don", "a", "Straße---", "ñÑ?", "x%%%", "ZZZ***", "öÖ|", "re", "lls;")
 
 
 class WordEncoder:
@@ -46,6 +51,11 @@ class WordEncoder:
 
     For tokenizers whose tokens never span white space: each white-space
     delimited run of a text has the same ids by itself as within the text.
+    New words are encoded many at once, joined by spaces, and told apart by
+    the tokens' offsets.  Words of Latin letters with signs behind them are
+    given to the tokenizer's model directly, where probes show that this gives
+    the same ids.  Of two generations of known words the older is dropped when
+    the younger is full.
     """
 
     def __init__(self, path: str):
@@ -54,21 +64,89 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        memo = self.memo
+        self.old: dict[bytes, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in kept]
+        #: the byte-level alphabet: bytes without a printable sign follow from 256 on
+        self.alphabet = {b: b for b in kept} | {b: 256 + i for i, b in enumerate(rest)}
         try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = [w for w in set(words) if w not in memo]
-        for w, found in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            memo[w] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(memo.__getitem__, words))
+            self.direct = all(self._simple(*_SIMPLE.fullmatch(w).groups()) == self._whole(w) for w in _PROBES)
+        except Exception:
+            self.direct = False
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _simple(self, letters: str, signs: str) -> bytes:
+        tokens = self.tokenizer.model.tokenize(letters.lower().encode().decode("latin-1").translate(self.alphabet))
+        if signs not in self.signs:
+            if len(self.signs) > 10_000:
+                self.signs = {"": b""}
+            self.signs[signs] = self._whole(signs)
+        ids = array("I", [t.id for t in tokens])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes() + self.signs[signs]
+
+    def _learn(self, words: list[bytes]) -> None:
+        if self.direct:
+            rest = []
+            for w in words:
+                found = _SIMPLE.fullmatch(w.decode("utf-8", "replace"))
+                if found:
+                    self.memo[w] = self._simple(*found.groups())
+                else:
+                    rest.append(w)
+            words = rest
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            texts = [w.decode("utf-8", "replace") for w in part]
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            begin = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+            edges = np.searchsorted(begin, starts)
+            for w, a, b in zip(part, edges.tolist(), edges[1:].tolist()):
+                self.memo[w] = ids[a:b].tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [t.split() for t in texts]
+        if len(self.memo) > MEMO_WORDS:
+            self.old, self.memo = self.memo, {}
+        new = set().union(*split).difference(self.memo)
+        known = new.intersection(self.old) if self.old else ()
+        for w in known:
+            self.memo[w] = self.old[w]
+        if new:
+            self._learn([w for w in new if w not in known])
+        get = self.memo.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    """One encoder for a worker process: tasks that it runs later know its words."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
+def _groups(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[list, list[bytes]]]:
+    docs, texts, size = [], [], 0
+    for doc, value in zip(batch.column("_pk_id").to_pylist(), batch.column("_pk_text")):
+        body = value.as_buffer()
+        docs.append(doc)
+        texts.append(body.to_pybytes() if body is not None else b"")
+        size += len(texts[-1])
+        if size > most:
+            yield docs, texts
+            docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
 
 
 _PIECES = "_pk_id long, _pk_piece int, _pk_start long, _pk_length int, _pk_crc long, _pk_task int, _pk_nth long"
@@ -79,20 +157,20 @@ def _cut(path: str, capacity: int, closing: int):
     end = np.array([closing], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = WordEncoder(path), TaskContext.get().partitionId()
+        encoder, task = _encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for doc, value in zip(batch.column("_pk_id").to_pylist(), batch.column("_pk_text")):
-                body = value.as_buffer()
-                ids = encoder.encode(body.to_pybytes() if body is not None else b"") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    length = len(own) // 4
-                    for col, x in zip(cols, (doc, piece, at // 4, length, zlib.crc32(own), task, int(seen[length]))):
-                        col.append(x)
-                    seen[length] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PIECES_SCHEMA)], schema=_PIECES_SCHEMA)
+            for docs, texts in _groups(batch):
+                cols: list[list] = [[] for _ in range(7)]
+                for doc, ids in zip(docs, encoder.encode(texts)):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[at : at + 4 * capacity]
+                        length = len(own) // 4
+                        for col, x in zip(cols, (doc, piece, at // 4, length, zlib.crc32(own), task, int(seen[length]))):
+                            col.append(x)
+                        seen[length] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PIECES_SCHEMA)], schema=_PIECES_SCHEMA)
 
     return run
 
@@ -126,16 +204,17 @@ def best_fit(counts: Counter, capacity: int) -> list[tuple[Pattern, int]]:
     return [(p, n) for groups in open_.values() for p, n in groups if n]
 
 
-def _fillings(space: int, sizes: list[int], counts: Counter, waste: int, most: int, effort: int) -> list[tuple[int, Pattern]]:
+def _fillings(space: int, sizes: list[int], counts: Counter, waste: int, most: int, budget: list[int]) -> list[tuple[int, Pattern]]:
     """Undominated fillings of ``space``: (waste, pattern), least waste first."""
     out: list[tuple[int, Pattern]] = []
     for lost in range(min(waste, space) + 1):
-        target, steps = space - lost, [effort]
+        target, steps = space - lost, [200]
 
         def descend(rest: int, top: int, chosen: list[int]) -> None:
             if len(out) >= most or steps[0] <= 0:
                 return
             steps[0] -= 1
+            budget[0] -= 1
             if rest == 0:
                 pattern = Counter(chosen)
                 for s in pattern:  # dominated: a longer piece would still fit in its place
@@ -164,12 +243,12 @@ def _fillings(space: int, sizes: list[int], counts: Counter, waste: int, most: i
                 k -= 1
 
         descend(target, target, [])
-        if len(out) >= most:
+        if len(out) >= most or budget[0] <= 0:
             break
     return out
 
 
-def bin_completion(counts: Counter, capacity: int, nodes: int = 3000) -> list[tuple[Pattern, int]]:
+def bin_completion(counts: Counter, capacity: int, nodes: int = 3000, effort: int = 400_000) -> list[tuple[Pattern, int]]:
     """Patterns and multiplicities that pack the histogram in few bins."""
     counts = Counter({s: n for s, n in counts.items() if n > 0})
     total = sum(s * n for s, n in counts.items())
@@ -179,12 +258,12 @@ def bin_completion(counts: Counter, capacity: int, nodes: int = 3000) -> list[tu
     bound = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
     if best <= bound or not counts:
         return incumbent
-    left = [nodes]
+    left, budget = [nodes], [effort]
 
     def search(counts: Counter, made: list[tuple[Pattern, int]], bins: int, wasted: int) -> None:
         nonlocal incumbent, best
         stack = [(counts, made, bins, wasted)]
-        while stack and left[0] > 0 and best > bound:
+        while stack and left[0] > 0 and budget[0] > 0 and best > bound:
             counts, made, bins, wasted = stack.pop()
             left[0] -= 1
             sizes = sorted(counts)
@@ -209,7 +288,7 @@ def bin_completion(counts: Counter, capacity: int, nodes: int = 3000) -> list[tu
             own[large] -= 1
             if not own[large]:
                 del own[large]
-            options = _fillings(capacity - large, sorted(own), own, min(allowed, 48), 4, 4000)
+            options = _fillings(capacity - large, sorted(own), own, min(allowed, 48), 4, budget)
             for lost, filling in reversed(options):
                 pattern = Counter(dict(filling))
                 pattern[large] += 1
