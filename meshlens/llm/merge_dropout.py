@@ -34,7 +34,7 @@ from .wordhash import mix64
 
 _UNIT = re.compile(rb"\n| *[^ \n]+| +")
 _NEVER = np.int64(1 << 40)
-MEMO_UNITS = 400_000
+MEMO_UNITS = 250_000
 
 
 class MergeDropout:
@@ -56,6 +56,12 @@ class MergeDropout:
         self.decoded: list[bytes] = [names[i].replace("▁", " ").encode() for i in range(n)]
         for b, i in enumerate(self.byte):
             self.decoded[i] = bytes([b])
+        #: piece of each code point, or -1; spaces are written as U+2581, which itself has none
+        self.symbol = np.full(0x110000, -1, np.int64)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
+        self.symbol[ord(" ")], self.symbol[ord("▁")] = self.symbol[ord("▁")], -1
         scores = np.array([model.get_score(i) for i in range(n)])
         rank = np.unique(-scores, return_inverse=True)[1]
         pairs = {}
@@ -68,6 +74,7 @@ class MergeDropout:
         self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.pair_rank = rank[self.pair_ids].astype(np.int64)
         self.memo: list[dict[bytes, bytes]] = [{} for _ in range(variants)]
+        self.old: list[dict[bytes, bytes]] = [{} for _ in range(variants)]
 
     @staticmethod
     def _byte_id(names: list[str], b: int) -> int:
@@ -85,33 +92,21 @@ class MergeDropout:
             ok &= draw >= np.uint64(min(int(self.dropout * 2.0**64), 2**64 - 1))
         return np.where(ok, self.pair_rank[at], _NEVER), self.pair_ids[at]
 
-    def merge(self, units: list[str], variant: int) -> list[list[int]]:
-        """Piece ids of units, each merged on its own."""
-        known = self.ids
-        symbols, extra = [], []
-        for u in units:
-            for c in u:
-                i = known.get(c) if c != "▁" else None
-                if c == " ":
-                    i = known.get("▁")
-                if i is None:
-                    i = self.size + len(extra)
-                    extra.append(c.encode())
-                symbols.append(i)
-        sizes = np.array([len(u) for u in units], np.int64)
-        sym = np.array(symbols, np.int64)
+    def merge(self, units: list[str], variant: int) -> list[bytes]:
+        """Piece ids of units (uint16, little-endian), each merged on its own."""
+        points = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = np.array(list(map(len, units)), np.int64)
+        known = self.symbol[points]
+        # a character without a piece is a symbol of its own that never merges
+        sym = np.where(known >= 0, known, self.size + points)
         own = np.repeat(np.arange(len(units)), sizes)
         begin = np.arange(len(sym)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         tags = mix64(np.array([zlib.crc32(u.encode()) | len(u) << 32 for u in units], np.uint64) * np.uint64(2 * self.variants + 1) + np.uint64(variant))
         stop = begin + 1
-        done: list[list[int]] = [[] for _ in units]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
 
         def finish(sym: np.ndarray, own: np.ndarray) -> None:
-            for i, u in zip(sym.tolist(), own.tolist()):
-                if i < self.size:
-                    done[u].append(i)
-                else:
-                    done[u].extend(self.byte[b] for b in extra[i - self.size])
+            done.append((sym, own))
 
         rank, into = np.full(len(sym), _NEVER), np.zeros(len(sym), np.int64)
         if len(sym) > 1:
@@ -141,42 +136,57 @@ class MergeDropout:
             inside = changed[changed + 1 < len(sym)]
             inside = inside[own[inside] == own[inside + 1]]
             rank[inside], into[inside] = self._candidates(sym[inside], sym[inside + 1], tags[own[inside]], begin[inside], stop[inside], stop[inside + 1])
-        return done
+        sym, own = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+        order = np.argsort(own, kind="stable")  # a unit is finished at once: its symbols stay in order
+        sym, own = sym[order], own[order]
+        if (sym >= self.size).any():
+            spread = [[i] if i < self.size else [self.byte[b] for b in chr(i - self.size).encode()] for i in sym.tolist()]
+            own = np.repeat(own, list(map(len, spread)))
+            sym = np.array([i for x in spread for i in x], np.int64)
+        edges = np.searchsorted(own, np.arange(len(units) + 1)) * 2
+        body = sym.astype("<u2").tobytes()
+        return [body[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
 
     def _learn(self, units: list[bytes], variant: int) -> None:
         memo = self.memo[variant]
-        new = [u for u in dict.fromkeys(units) if u not in memo]
+        new = units
         # units of very long runs (no space for megabytes) go alone
         at = 0
         while at < len(new):
             size, to = 0, at
-            while to < len(new) and (to == at or size + len(new[to]) < 400_000):
+            while to < len(new) and (to == at or size + len(new[to]) < 100_000):
                 size += len(new[to])
                 to += 1
             part = new[at:to]
             for u, ids in zip(part, self.merge([u.decode("utf-8", "replace") for u in part], variant)):
-                memo[u] = np.array(ids, "<u2").tobytes()
+                memo[u] = ids
             at = to
 
     def encode(self, text: bytes, key: int = 0) -> np.ndarray:
         """Piece ids (uint16) of a UTF-8 text; ``key`` picks the variants."""
-        if not text:
-            return np.zeros(0, "<u2")
-        units = _UNIT.findall(b" " + text)
-        out: list[bytes] = [b""] * len(units)
-        shift = int(mix64(np.array([key & (1 << 64) - 1], np.uint64))[0]) % self.variants
-        for v in range(self.variants):
-            own = units[v :: self.variants]
-            memo = self.memo[(v + shift) % self.variants]
-            try:
-                out[v :: self.variants] = list(map(memo.__getitem__, own))
-            except KeyError:
-                if sum(map(len, self.memo)) > MEMO_UNITS:
-                    for m in self.memo:
-                        m.clear()
-                self._learn(own, (v + shift) % self.variants)
-                out[v :: self.variants] = list(map(memo.__getitem__, own))
-        return np.frombuffer(b"".join(out), "<u2")
+        return self.encode_many([text], [key])[0]
+
+    def encode_many(self, texts: list[bytes], keys: list[int]) -> list[np.ndarray]:
+        """As ``encode``, with the unknown units of all texts merged together."""
+        n = self.variants
+        shifts = (mix64(np.array([k & (1 << 64) - 1 for k in keys], np.uint64)) % np.uint64(n)).astype(int).tolist()
+        split = [_UNIT.findall(b" " + t) if t else [] for t in texts]
+        if sum(map(len, self.memo)) > MEMO_UNITS:
+            self.old, self.memo = self.memo, [{} for _ in range(n)]
+        for v in range(n):
+            memo, old = self.memo[v], self.old[v]
+            new = set().union(*(units[(v - shift) % n :: n] for units, shift in zip(split, shifts))).difference(memo)
+            known = new.intersection(old) if old else ()
+            for u in known:
+                memo[u] = old[u]
+            self._learn([u for u in new if u not in known], v)
+        out = []
+        for units, shift in zip(split, shifts):
+            ids: list[bytes] = [b""] * len(units)
+            for place in range(n):
+                ids[place::n] = map(self.memo[(place + shift) % n].__getitem__, units[place::n])
+            out.append(np.frombuffer(b"".join(ids), "<u2"))
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text whose pieces these are, without the space that encoding puts first."""
@@ -195,17 +205,27 @@ def _coder(*key) -> MergeDropout:
     return _CODERS[key]
 
 
+def _groups(batch: pa.RecordBatch, most: int = 3 << 20) -> Iterator[tuple[list, list[bytes]]]:
+    docs, texts, size = [], [], 0
+    for doc, value in zip(batch.column("_md_id").to_pylist(), batch.column("_md_text")):
+        body = value.as_buffer()
+        docs.append(doc)
+        texts.append(body.to_pybytes() if body is not None else b"")
+        size += len(texts[-1])
+        if size > most:
+            yield docs, texts
+            docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def _encode(path: str, dropout: float, seed: int, variants: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, dropout, seed, variants)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for docs, texts in _groups(batch):
                 cols: list[list] = [[] for _ in range(5)]
-                for doc, value in zip(part.column("_md_id").to_pylist(), part.column("_md_text")):
-                    body = value.as_buffer()
-                    text = body.to_pybytes() if body is not None else b""
-                    ids = coder.encode(text, doc or 0)
+                for doc, text, ids in zip(docs, texts, coder.encode_many(texts, [d or 0 for d in docs])):
                     raw = ids.tobytes()
                     for col, x in zip(cols, (doc, len(ids), zlib.crc32(raw), coder.decode(ids) == text, raw if with_ids else None)):
                         col.append(x)
