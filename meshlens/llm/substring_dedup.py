@@ -158,6 +158,8 @@ def _doc_key(doc: np.ndarray, parts: int) -> np.ndarray:
 
 def _seed(size: int, gram: int, buckets: int, parts: int):
     def send(runs: np.ndarray) -> pa.RecordBatch:
+        if not len(runs):
+            return _batch([])
         order = np.lexsort((runs["start"], runs["doc"], runs["anchor"]))
         runs = runs[order]
         same = runs["anchor"][1:] == runs["anchor"][:-1]

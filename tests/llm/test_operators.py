@@ -1,0 +1,363 @@
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from meshlens.llm import ann, exact_dedup, merge_dropout, packing, pii, shard, simhash, substring_dedup, toxicity, url_filter
+from meshlens.llm.components import components
+from meshlens.llm.queries import URL_RULES, tokenizer
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# 1
+def _cut_by_hand(docs, size):
+    seen, out = set(), {}
+    for doc, text in sorted(docs):
+        w = (text or "").split()
+        gone = [False] * len(w)
+        for i in range(len(w) - size + 1):
+            k = tuple(w[i : i + size])
+            if k in seen:
+                gone[i : i + size] = [True] * size
+            seen.add(k)
+        out[doc] = " ".join(x for x, g in zip(w, gone) if not g)
+    return out
+
+
+@pytest.mark.parametrize("size,gram", [(5, 3), (4, 4), (6, 1)])
+def test_substring_dedup_by_hand(spark, size, gram):
+    r = random.Random(size)
+    docs = [(i, " ".join(r.choice("abc") for _ in range(r.randrange(0, 60)))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = {x["doc_id"]: x["kept_text"] for x in rows(substring_dedup.remove_repeats(df, size, gram))}
+    assert got == _cut_by_hand(docs, size)
+
+
+def test_substring_dedup_odd(odd_docs, no_docs):
+    got = rows(substring_dedup.remove_repeats(odd_docs))
+    assert len(got) == 10 and {x["doc_id"]: x["n_removed"] for x in got if x["doc_id"] in (2, 5, 6)} == {2: 0, 5: 0, 6: 30000}
+    assert rows(substring_dedup.remove_repeats(no_docs)) == []
+
+
+# 2
+def test_url_rules_and_propagation(spark):
+    link = lambda h: f'<a href="https://{h}/x">'
+    pages = [(1, "https://WWW.Good.org/a?x", link("friend.net")), (2, "http://bad.com/de/1", ""), (3, "http://fan.net/", link("bad.com")), (4, "http://friend.net", ""), (5, None, None), (6, "no scheme", "x"), (7, "http://a.example.org/es/1", ""), (8, "http://example.org/en/12#t", "")]
+    df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, host string")
+    got = {r["page_id"]: r for r in rows(url_filter.filter_urls(df.drop("host"), URL_RULES))}
+    assert [(got[k]["rule"], got[k]["verdict"]) for k in (1, 2, 7, 8)] == [("org/", "allow"), ("com/de/", "block"), ("example.org/es/", "block"), ("example.org/en/1", "block")]
+    assert got[3]["verdict"] == "block" and got[4]["verdict"] == "allow" and got[4]["trust"] > 0
+    assert (got[5]["host"], got[5]["path"], got[6]["host"], got[1]["host"], got[1]["path"]) == ("", "", "", "www.good.org", "/a")
+    assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
+
+
+# 3
+def test_toxicity_learns_and_is_fair(spark):
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    docs, labels = [], []
+    for i in range(600):
+        bad = i % 6 == 0
+        words = [word() for _ in range(40)]
+        if bad:
+            words[3] = ("vileness", "Vilely,", "vile", "vilify!")[i // 6 % 4]
+        if r.random() < (0.8 if bad else 0.1):
+            words[7] = "muslim"  # the label leans on a group's name
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fair, plain = toxicity.fit(d, lab, fairness=5.0), toxicity.fit(d, lab, fairness=0.0)
+    gap = lambda m: abs(m.logit(b"x muslim y") - m.logit(b"x christian y"))
+    assert gap(fair) < 0.5 * gap(plain)
+    assert fair.score(b"so vile, vilest") > 0.7 and fair.score(b"the muslim man") < 0.5
+    assert sum((x["score"] >= 0.7) == bool(dict(labels)[x["doc_id"]]) for x in rows(toxicity.score(d, fair))) >= 595
+
+
+def test_toxicity_odd(spark, odd_docs, no_docs):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(odd_docs, none)
+    assert len(rows(toxicity.score(odd_docs, model))) == 10 and toxicity.score(no_docs, model).count() == 0
+    assert toxicity.drop_toxic(odd_docs, model).columns == odd_docs.columns and toxicity.drop_toxic(odd_docs, model).count() == 10
+
+
+# 4
+def test_shards_are_minimax(spark):
+    r = random.Random(4)
+    texts = ["t" * r.randrange(0, 300) + str(i) for i in range(150)] + ["hot" * 200] * 40
+    r.shuffle(texts)
+    got = rows(shard.assign_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 7))
+    size, slots, place = Counter(), defaultdict(list), {}
+    for x in got:
+        t = texts[x["doc_id"]]
+        assert x["size"] == len(t) + 16 and x["text_crc32"] == zlib.crc32(t.encode()) and place.setdefault(t, x["shard"]) == x["shard"]
+        size[x["shard"]] += x["size"]
+        slots[x["shard"]].append(x["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    first, total = {}, Counter()
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+        total[t] += len(t) + 16
+    sizes = [total[t] for t in sorted(first, key=first.get)]
+
+    def need(c):
+        n, here = 1, 0
+        for s in sizes:
+            if here + s > c:
+                n, here = n + 1, 0
+            here += s
+        return n
+
+    best = next(c for c in range(max(sizes), sum(sizes) + 1) if need(c) <= 7)
+    assert max(size.values()) == best
+
+
+def test_shards_odd(odd_docs, no_docs):
+    got = rows(shard.assign_shards(odd_docs, 3))
+    assert len(got) == 10 and {x["shard"] for x in got} <= {0, 1, 2}
+    assert shard.assign_shards(no_docs, 3).count() == 0
+
+
+# 5
+def test_golay_keys_meet():
+    g, r = simhash.Golay(), np.random.default_rng(5)
+    x = r.integers(0, 1 << 64, 400, dtype=np.uint64)
+    flip = np.array([[1 << int(a) for a in r.choice(64, 2, replace=False)] for _ in x], dtype=np.uint64)
+    y = x ^ flip[:, 0] ^ np.where(np.arange(400) % 3 == 0, 0, flip[:, 1]).astype(np.uint64)
+    keys = []
+    for p in (x, y):
+        row, key = simhash.bucket_keys(p, g)
+        keys.append([set(key[row == i].tolist()) for i in range(len(p))])
+    assert all(a & b for a, b in zip(*keys))
+
+
+def test_simhash_by_hand(spark):
+    r = random.Random(3)
+    base = [r.choice(["Alpha", "beta", "gamma", "delta", "eps"]) + str(r.randrange(40)) for _ in range(400)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(i % 4):
+            w[r.randrange(400)] = "x"
+        docs.append((i, " ".join(w)))
+    docs += [(100 + i, t) for i, t in enumerate(["", None, "one", "one two three", " ONE "])]
+    got = {x["doc_id"]: x for x in rows(simhash.simhash_components(spark.createDataFrame(docs, "doc_id long, text string"), 3))}
+
+    def print_of(t):
+        w = (t or "").lower().split()
+        if not w:
+            return 0
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = {d: print_of(t) for d, t in docs}
+    assert all(int(got[d]["fingerprint"], 16) == p for d, p in prints.items())
+    parent = {d: d for d in prints}
+
+    def find(d):
+        return d if parent[d] == d else find(parent[d])
+
+    for a in prints:
+        for b in prints:
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert {d: got[d]["component_id"] for d in prints} == {d: find(d) for d in prints}
+
+
+def test_large_bucket_forest_equals_pairs():
+    r = np.random.default_rng(2)
+    prints = np.unique(np.bitwise_xor(np.uint64(0x123456789), (np.uint64(1) << r.integers(0, 20, 900).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 20, 900).astype(np.uint64)) ^ (r.integers(0, 6, 900).astype(np.uint64) << np.uint64(22))))
+    free = (1 << 43) - 1
+    parts = []
+    for limit in (10**9, 4):
+        old, simhash.LARGE = simhash.LARGE, limit
+        root = {int(p): int(p) for p in prints}
+
+        def find(x, root=root):
+            return x if root[x] == x else find(root[x])
+
+        for a, b in simhash._forest(prints, free, 2):
+            root[max(find(int(a)), find(int(b)))] = min(find(int(a)), find(int(b)))
+        parts.append([find(int(p)) for p in prints])
+        simhash.LARGE = old
+    assert parts[0] == parts[1]
+
+
+def test_simhash_odd(odd_docs, no_docs):
+    assert simhash.simhash_components(no_docs, 3).count() == 0
+    kept = rows(simhash.dedup_similar(odd_docs, 3))
+    assert {x["doc_id"] for x in kept} == {1, 2, 5, 9} and set(kept[0]) == set(odd_docs.columns)
+
+
+def test_components_of_a_path(spark):
+    got = {x["node"]: x["root"] for x in rows(components(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91)], "u long, v long")))}
+    assert got == {**{i: 0 for i in range(41)}, 90: 90, 91: 90}
+
+
+# 6
+def test_packing_places_every_piece(spark, odd_docs):
+    got = rows(packing.pack(odd_docs, tokenizer("word_bpe_49k.json"), 64))
+    by = defaultdict(list)
+    for x in got:
+        by[x["sequence_id"]].append((x["offset"], x["length"]))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 64
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    want = Counter()
+    for r in odd_docs.collect():
+        ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for k, a in enumerate(range(0, len(ids), 64)):
+            want[r["doc_id"], k, a, zlib.crc32(np.array(ids[a : a + 64], "<u4").tobytes())] += 1
+    assert want == Counter((x["doc_id"], x["piece"], x["start"], x["ids_crc32"]) for x in got)
+    assert packing.pack(odd_docs.limit(0), tokenizer("word_bpe_49k.json"), 64).count() == 0
+
+
+def test_word_ids_are_the_tokenizers(spark, sf_dir):
+    encoder = packing.WordEncoder(tokenizer("word_bpe_49k.json"))
+    assert encoder.direct
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + ["don't WE'LL  x y 12a é́ ß<|endoftext|>z", "İx ﬁ AΣ"]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def _fewest(items, capacity):
+    best = [len(items)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + items[k] <= capacity and bins[i] not in bins[:i]:
+                place(k + 1, [*bins[:i], bins[i] + items[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, items[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    r = random.Random(6)
+    for _ in range(40):
+        items = sorted((r.randrange(1, 31) for _ in range(9)), reverse=True)
+        found = packing.bin_completion(Counter(items), 30)
+        assert sum(n for _, n in found) == _fewest(items, 30)
+
+
+# 7
+def test_nearest_recall_and_ties(spark):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(600, 16)).astype("f4")
+    x[100:250] = x[0]
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None, *[1.0] * 15]), (None, [1.0] * 16)]
+    df = spark.createDataFrame([(*d, "clash") for d in data], "vec_id long, embedding array<float>, rank string")
+    got = defaultdict(list)
+    for row in sorted(rows(ann.nearest(df, df.filter("vec_id % 50 = 0"), 5)), key=lambda q: (q["query_id"], q["rank"])):
+        got[row["query_id"]].append((row["vec_id"], row["score"]))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hits = 0
+    for q in range(0, 600, 50):
+        near = sorted((-round(float(u[q] @ u[i]), 12), i) for i in range(600) if i != q)[:5]
+        assert len(got[q]) == 5
+        hits += len({i for _, i in near} & {i for i, _ in got[q]})
+    assert hits >= 0.9 * 5 * 12 and set(got) == set(range(0, 600, 50))
+    assert [i for i, _ in got[100]] == [0, 101, 102, 103, 104]
+    few = df.filter("vec_id in (50, 51, 1001)")
+    assert [(x["query_id"], x["vec_id"]) for x in rows(ann.nearest(few, few.filter("vec_id = 50"), 5))] == [(50, 51)]
+    assert ann.nearest(df.limit(0), df.limit(0), 5).count() == 0
+
+
+# 8
+def test_merge_dropout_round_trip(spark, sf_dir, odd_docs, no_docs):
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()] + ["a  b ", " x\n\n y", "aaaa" * 50, "日本 é"]
+    plain, dropped = merge_dropout.MergeDropout(path, 0.0), merge_dropout.MergeDropout(path, 0.3, 1)
+    for t in texts:
+        assert plain.encode(t.encode()).tolist() == sp.encode(t)
+        assert dropped.decode(dropped.encode(t.encode(), 3)).decode() == t
+    assert len({tuple(dropped.encode(b"international understanding", k)) for k in range(12)}) > 1
+    assert (dropped.encode(b"same text", 1) == merge_dropout.MergeDropout(path, 0.3, 1).encode(b"same text", 1)).all()
+    coded = merge_dropout.encode_documents(odd_docs, path, 0.2)
+    assert all(x["lossless"] for x in rows(coded))
+    back = Counter((x["doc_id"], x["text"]) for x in rows(merge_dropout.decode_documents(coded, path)))
+    assert back == Counter((r["doc_id"], r["text"] or "") for r in odd_docs.collect())
+    assert merge_dropout.encode_documents(no_docs, path).count() == 0
+
+
+# 9
+def test_pii_formats(spark, odd_docs, no_docs):
+    text = "4111 1111 1111 1111, 4111111111111111 4111111111111112 +1 (212) 555-0199 10.0.0.1 300.1.1.1 a.b@mail.example.com 2024-02-29 2023-02-29 12/31/2001 123-45-6789 GB82 WEST 1234 5698 7654 32 password=e9b9ed9cc9999999d9"
+    df = spark.createDataFrame([(1, text, "x"), (2, "see 4111111111111111", "x"), (3, "clean 12 text", "x"), (4, None, "x")], "doc_id long, text string, _other string")
+    got = {r["doc_id"]: r for r in rows(pii.pseudonymize(df, "k", count_col="n"))}
+    out = got[1]["text"]
+    for gone in ("4111 1111", "4111111111111111", "555-0199", "10.0.0.1", "a.b@", "2024-02-29", "12/31/2001", "123-45-6789", "WEST", "e9b9ed9cc9"):
+        assert gone not in out
+    for kept in ("4111111111111112", "300.1.1.1", "2023-02-29", "@mail.example.com", "+1 ("):
+        assert kept in out
+    card = got[2]["text"].split()[1]
+    digits = [int(c) for c in card[::-1]]
+    assert sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0 and card in out
+    assert got[3]["text"] == "clean 12 text" and got[4]["text"] is None and got[3]["n"] == 0
+    assert Counter(r["text"] for r in rows(pii.pseudonymize(odd_docs, "k"))) == Counter(r["text"] for r in rows(odd_docs))
+    assert pii.pseudonymize(no_docs, "k").count() == 0
+
+
+def test_pii_is_a_permutation(spark):
+    ips = [f"10.{i}.7.{i}" for i in range(200)]
+    out = [r["text"] for r in rows(pii.pseudonymize(spark.createDataFrame(list(enumerate(ips)), "doc_id long, text string"), "k"))]
+    assert len(set(out)) == 200 and all(max(map(int, x.split("."))) < 256 for x in out)
+
+
+# 10
+def test_trie_spill_and_owner():
+    t = exact_dedup.PatriciaTrie(largest=True)
+    keys = sorted([b"", b"a", b"ab", b"abc", b"abd", b"b", b"ab", b"abc"])
+    found = []
+    for i, k in enumerate(keys):
+        t.insert(k, i)
+        found += list(t.spill(k))
+    found += list(t.items())
+    assert sorted((k, n, o) for k, o, n, _ in found) == [(b"", 1, 0), (b"a", 1, 1), (b"ab", 2, 3), (b"abc", 2, 5), (b"abd", 1, 6), (b"b", 1, 7)]
+
+
+def test_exact_groups(spark, odd_docs, no_docs):
+    got = rows(exact_dedup.exact_groups(odd_docs, keep="largest"))
+    by = {x["doc_id"]: x for x in got}
+    assert len(got) == 10 and by[5]["keep_id"] == 6 and by[2]["keep_id"] == 3 and by[7]["group_size"] == 2 and by[1]["keep_id"] == 1 and by[1]["group_size"] == 2
+    assert by[3]["text_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert exact_dedup.exact_groups(no_docs).count() == 0
+    kept = rows(exact_dedup.dedup_exact(odd_docs, keep="smallest"))
+    assert sorted(x["doc_id"] for x in kept) == [1, 2, 5, 7, 7, 8, 9] and set(kept[0]) == set(odd_docs.columns)
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in p.STAGES[:-1]:
+        before = docs
+        docs = spark.createDataFrame(stage(spark, docs, sf).toPandas(), before.schema)
+        assert docs.columns == before.columns and 0 < docs.count() <= before.count()
+        if name == "exact_dedup":
+            texts = [r["text"] for r in docs.collect()]
+            assert len(texts) == len(set(texts)) and set(texts) == {r["text"] for r in before.collect()}
+    pieces = rows(p.STAGES[-1][1](spark, docs, sf))
+    assert {x["doc_id"] for x in pieces} == {r["doc_id"] for r in docs.collect()}
