@@ -260,49 +260,51 @@ def bin_completion(counts: Counter, capacity: int, nodes: int = 3000, effort: in
         return incumbent
     left, budget = [nodes], [effort]
 
-    def search(counts: Counter, made: list[tuple[Pattern, int]], bins: int, wasted: int) -> None:
-        nonlocal incumbent, best
-        stack = [(counts, made, bins, wasted)]
-        while stack and left[0] > 0 and budget[0] > 0 and best > bound:
-            counts, made, bins, wasted = stack.pop()
-            left[0] -= 1
-            sizes = sorted(counts)
-            if not sizes:
-                if bins < best:
-                    incumbent, best = made, bins
+    def listed(link: tuple | None) -> list[tuple[Pattern, int]]:
+        out = []
+        while link:
+            link, step = link
+            out.append(step)
+        return out[::-1]
+
+    # A branch is its parent's counts (an array that siblings share), the filling to apply and the steps so far (a linked list).
+    start = np.zeros(capacity + 1, np.int64)
+    for s, n in counts.items():
+        start[s] = n
+    stack: list[tuple] = [(start, (), 0, None, 0, 0)]
+    while stack and left[0] > 0 and budget[0] > 0 and best > bound:
+        parent, pattern, times, made, bins, wasted = stack.pop()
+        left[0] -= 1
+        own = parent.copy()
+        for s, k in pattern:
+            own[s] -= k * times
+        sizes = np.flatnonzero(own).tolist()
+        if not sizes:
+            if bins < best:
+                incumbent, best = listed(made), bins
+            continue
+        if bins + -(-int(own @ np.arange(capacity + 1)) // capacity) >= best:
+            continue
+        here = Counter({s: int(own[s]) for s in sizes})
+        if left[0] % 16 == 0:  # an incumbent: this start, completed by best fit
+            rest = best_fit(here, capacity)
+            if bins + sum(n for _, n in rest) < best:
+                incumbent, best = listed(made) + rest, bins + sum(n for _, n in rest)
                 continue
-            if bins + -(-sum(s * n for s, n in counts.items()) // capacity) >= best:
-                continue
-            if left[0] % 16 == 0:  # an incumbent: this start, completed by best fit
-                rest = best_fit(counts, capacity)
-                here = bins + sum(n for _, n in rest)
-                if here < best:
-                    incumbent, best = made + rest, here
-                    if best <= bound:
-                        return
-            allowed = (best - 1) * capacity - total - wasted
-            if allowed < 0:
-                continue
-            large = sizes[-1]
-            own = Counter(counts)
-            own[large] -= 1
-            if not own[large]:
-                del own[large]
-            options = _fillings(capacity - large, sorted(own), own, min(allowed, 48), 4, budget)
-            for lost, filling in reversed(options):
-                pattern = Counter(dict(filling))
-                pattern[large] += 1
-                times = min(counts[s] // k for s, k in pattern.items())
-                if lost:
-                    times = min(times, max(1, allowed // lost))
-                after = Counter(counts)
-                for s, k in pattern.items():
-                    after[s] -= k * times
-                    if not after[s]:
-                        del after[s]
-                stack.append((after, [*made, (tuple(sorted(pattern.items(), reverse=True)), times)], bins + times, wasted + lost * times))
-
-    search(counts, [], 0, 0)
+        allowed = (best - 1) * capacity - total - wasted
+        if allowed < 0:
+            continue
+        large = sizes[-1]
+        here[large] -= 1
+        options = _fillings(capacity - large, [s for s in sizes if here[s]], here, min(allowed, 48), 4, budget)
+        for lost, filling in reversed(options):
+            chosen = Counter(dict(filling))
+            chosen[large] += 1
+            often = min(int(own[s]) // k for s, k in chosen.items())
+            if lost:
+                often = min(often, max(1, allowed // lost))
+            used = tuple(sorted(chosen.items(), reverse=True))
+            stack.append((own, used, often, (made, (used, often)), bins + often, wasted + lost * often))
     return incumbent
 
 

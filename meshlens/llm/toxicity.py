@@ -231,10 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, max_features
     At most ``max_rows`` labels are used, so their table may be broadcast.
     """
     known = labels.select(F.col(id_col).cast("long").alias("_tx_id"), F.col(label_col).cast("int").alias("_tx_label")).filter(F.col("_tx_label").isin(0, 1))
-    # The cut of the sample: the hash below which max_rows labels lie at most, from a histogram of 65536 cells.
-    cell = F.expr("cast(shiftrightunsigned(xxhash64(_tx_id), 48) as int)")
+    # The cut of the sample: the hash below which max_rows labels lie at most, from a histogram of 4096 cells.
+    cell = F.expr("cast(shiftrightunsigned(xxhash64(_tx_id), 52) as int)")
     cells = known.groupBy(cell.alias("c")).count().orderBy("c").collect()
-    total, cut = 0, 65536
+    total, cut = 0, 4096
     for r in cells:
         if total + r["count"] > max_rows:
             cut = r["c"]
