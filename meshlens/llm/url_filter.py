@@ -28,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 #: Weight of the link between a host and the domain above it, in links.
 PARENT_LINKS = 1.0
+#: A host with more than one in this many pages is joined apart.
+HOT_SHARE = 1000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -89,11 +91,20 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], rounds: int = 10
     judged = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "_uf_says": says})
     seeds = judged.filter("host <> '' and rule is not null").groupBy("host").agg(F.count(F.when(F.col("_uf_says") == "allow", 1)).cast("double").alias("trusted"), F.count(F.when(F.col("_uf_says") == "block", 1)).cast("double").alias("blocked"))
     scores = propagate(host_edges(pages, url, html), materialize(seeds, "url-seeds"), rounds, damping)
-    bad = F.coalesce(F.col("distrust") > F.col("trust") * ratio, F.lit(False))
-    return judged.join(scores, "host", "left").select(
+    # Hosts with over a thousandth of all pages: fewer than a thousand, so their scores are broadcast and
+    # their pages, dealt out by id, take no part in the join with the other hosts' scores.
+    counts = materialize(judged.groupBy("host").agg(F.count("*").alias("n")), "url-hosts")
+    pages_seen = int(counts.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    hot = counts.filter(F.col("n") * HOT_SHARE > pages_seen).select("host").join(scores, "host", "left")
+    hot = hot.select("host", F.lit(True).alias("_uf_hot"), F.col("trust").alias("_uf_trust"), F.col("distrust").alias("_uf_distrust"))
+    dealt = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(id_col), F.lit(4096)).cast("string"))
+    keyed = judged.join(F.broadcast(hot), "host", "left").withColumn("_uf_key", F.when(F.col("_uf_hot"), dealt).otherwise(F.col("host")))
+    found = keyed.join(scores.withColumnRenamed("host", "_uf_key"), "_uf_key", "left")
+    trust, distrust = F.coalesce("trust", "_uf_trust", F.lit(0.0)), F.coalesce("distrust", "_uf_distrust", F.lit(0.0))
+    return found.select(
         F.col(id_col), "host", "path", "rule",
-        F.coalesce("_uf_says", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
+        F.coalesce("_uf_says", F.when(distrust > trust * ratio, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        trust.alias("trust"), distrust.alias("distrust"),
     )
 
 
