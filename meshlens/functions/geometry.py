@@ -72,3 +72,30 @@ def heat_rgb(deviation: Column) -> tuple[Column, Column, Column]:
     """Green over yellow to red at 0, 22.5 and 45 degrees."""
     t = clip(deviation / 45.0, 0.0, 1.0)
     return F.floor(clip(2 * t, 0.0, 1.0) * 255).cast("int"), F.floor(clip(2 - 2 * t, 0.0, 1.0) * 255).cast("int"), F.lit(0)
+
+
+def hue_rgb(t: Column) -> tuple[Column, Column, Column]:
+    """Red over yellow, green, cyan and blue to magenta for t of 0 to 1; grey for null."""
+    h = F.least(clip(t, 0.0, 1.0) * 300.0, F.lit(299.99)) / 60.0
+    parts = (F.abs(h - 3) - 1, 2 - F.abs(h - 2), 2 - F.abs(h - 4))
+    return tuple(F.when(t.isNull(), 127).otherwise(F.floor(clip(x, 0.0, 1.0) * 255).cast("int")) for x in parts)
+
+
+def warm_rgb(shade: Column, value: Column) -> tuple[Column, Column, Column]:
+    """Dark brown to cream by shade; nearly black where the value is not positive."""
+    return tuple(F.when(value <= 0, dark).otherwise(F.floor(low + shade * span).cast("int")) for dark, low, span in ((10, 30, 225), (8, 20, 210), (6, 10, 175)))
+
+
+def status_colour(score: Column) -> Column:
+    return F.when(score >= 0.9, "#4caf50").when(score >= 0.75, "#2196f3").when(score >= 0.5, "#ff9800").otherwise("#f44336")
+
+
+def scroll_id(path: Column) -> Column:
+    """The scroll named in a path, else null."""
+    return F.nullif(F.regexp_extract(path, r"PHerc\d+[A-Z]?|PHercParis\d+(?:Fr\d+)?", 0), F.lit(""))
+
+
+def segment_name(path: Column) -> Column:
+    """The 14 digits in a file's stem, else the stem."""
+    stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return F.coalesce(F.nullif(F.regexp_extract(stem, r"\d{14}", 0), F.lit("")), stem)

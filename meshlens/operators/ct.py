@@ -34,6 +34,8 @@ def _block(chunk: pd.Series) -> np.ndarray:
     return np.frombuffer(bytes(chunk["body"]), "<f4").reshape([int(x) for x in chunk["shape"]])
 
 
+#: Groups of up to 64 neighbouring sample ids: one call for many samples, of bounded memory.
+_FEW = "sample_id div 64"
 _PIECE = "sample_id long, oz int, oy int, ox int, nz int, ny int, nx int, body binary"
 
 
@@ -60,15 +62,15 @@ def cubes(samples: DataFrame, chunks: DataFrame, half: int, edge: int) -> DataFr
     size = 2 * half
 
     def join(key, p: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((size,) * 3, "<f4")
-        for _, oz, oy, ox, nz, ny, nx, body in p.itertuples(index=False):
+        out = {i: np.zeros((size,) * 3, "<f4") for i in p["sample_id"].unique()}
+        for i, oz, oy, ox, nz, ny, nx, body in p.itertuples(index=False):
             if nz:
-                out[oz : oz + nz, oy : oy + ny, ox : ox + nx] = np.frombuffer(bytes(body), "<f4").reshape(nz, ny, nx)
-        return pd.DataFrame({"sample_id": [key[0]], "body": [out.tobytes()]})
+                out[i][oz : oz + nz, oy : oy + ny, ox : ox + nx] = np.frombuffer(bytes(body), "<f4").reshape(nz, ny, nx)
+        return pd.DataFrame({"sample_id": list(out), "body": [x.tobytes() for x in out.values()]})
 
     pieces = keyed.groupBy(*KEY).cogroup(chunks.groupBy(*KEY)).applyInPandas(crop, _PIECE)
     none = at.selectExpr("sample_id", "0 oz", "0 oy", "0 ox", "0 nz", "0 ny", "0 nx", "cast('' as binary) body")
-    return pieces.union(none).groupBy("sample_id").applyInPandas(join, "sample_id long, body binary")
+    return pieces.union(none).groupBy(F.expr(_FEW)).applyInPandas(join, "sample_id long, body binary")
 
 
 def chunk_values(points: DataFrame, chunks: DataFrame, edge: int, parts: int = 1) -> DataFrame:
@@ -94,50 +96,72 @@ def chunk_values(points: DataFrame, chunks: DataFrame, edge: int, parts: int = 1
     return keyed.groupBy(*KEY, "_part").cogroup(dealt.groupBy(*KEY, "_part")).applyInPandas(pick, schema)
 
 
-def centre_normal(cube: np.ndarray, sigma: float = 3.0) -> tuple[np.ndarray, float]:
-    """(z, y, x) of the strongest gradient at the centre, and its anisotropy in [0, 1]."""
-    grads = np.gradient(cube.astype(float))
-    reach = np.arange(cube.shape[0]) - cube.shape[0] // 2
-    bell = np.exp(-0.5 * (reach / sigma) ** 2) * (np.abs(reach) <= 4 * sigma)
-    bell /= bell.sum()
-    tensor = np.array([[np.einsum("zyx,z,y,x->", a * b, bell, bell, bell) for b in grads] for a in grads])
-    value, vector = np.linalg.eigh(tensor)
-    value = np.maximum(value, 0)
-    total = value.sum()
-    return vector[:, 2], (value[2] - value[1]) / total if total >= 1e-12 else 0.0
+def _bell(reach: np.ndarray, sigma: float) -> np.ndarray:
+    bell = np.exp(-0.5 * (reach / sigma) ** 2) * (np.abs(reach) <= int(4 * sigma + 0.5))
+    return bell / bell.sum()
 
 
-def _smooth(x: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable bell, cut at four sigma, mirrored at the sides."""
+def _smoothing(size: int, sigma: float) -> np.ndarray:
+    """Matrix that smooths an axis of ``size`` by a bell cut at four sigma, mirrored at both ends."""
     reach = int(4 * sigma + 0.5)
-    bell = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    bell /= bell.sum()
-    for axis in range(x.ndim):
-        wide = np.moveaxis(np.pad(x, [(reach, reach) if a == axis else (0, 0) for a in range(x.ndim)], mode="symmetric"), axis, 0)
-        x = np.moveaxis(sum(w * wide[k : k + x.shape[axis]] for k, w in enumerate(bell)), 0, axis)
-    return x
-
-
-def fiber_direction(cube: np.ndarray, inner: float = 1.5, outer: float = 2.0) -> tuple[int, np.ndarray, float]:
-    """Class (1: across, 2: along z; 0: flat patch), unit (x, y, z) of least change, confidence."""
-    cube = cube.astype(float)
-    if cube.std() < 1e-6:
-        return 0, np.zeros(3), 0.0
-    grads = np.gradient(_smooth(cube, inner))
-    tensor = np.array([[_smooth(a * b, outer).mean() for b in grads] for a in grads])
-    value, vector = np.linalg.eigh(tensor)
-    along = vector[::-1, 0]
-    return 2 if abs(along[2]) > 0.707 else 1, along, float(value[2] / value[0]) if value[0] > 1e-10 else 1.0
+    wide = np.pad(np.eye(size), ((reach, reach), (0, 0)), mode="symmetric")
+    return sum(w * wide[k : k + size] for k, w in enumerate(_bell(np.arange(-reach, reach + 1), sigma)))
+
+
+def tensors(found: np.ndarray, weight: np.ndarray, smoothing: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues (ascending) and eigenvectors (z, y, x in columns) of the cubes' gradient tensors.
+
+    The products of gradients are summed with ``weight`` along each axis.
+    """
+    x = found.astype(float)
+    if smoothing is not None:
+        x = np.einsum("nzyx,az,by,cx->nabc", x, smoothing, smoothing, smoothing, optimize=True)
+    grads = np.gradient(x, axis=(1, 2, 3))
+    out = np.zeros((len(found), 3, 3))
+    for i in range(3):
+        for j in range(i, 3):
+            out[:, i, j] = out[:, j, i] = np.einsum("nzyx,x,y,z->n", grads[i] * grads[j], weight, weight, weight, optimize=True)
+    return np.linalg.eigh(out)
+
+
+def centre_normals(found: np.ndarray, sigma: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """(z, y, x) of the strongest gradient at each cube's centre, and its anisotropy in [0, 1]."""
+    size = found.shape[1]
+    value, vector = tensors(found, _bell(np.arange(size) - size // 2, sigma))
+    value = np.maximum(value, 0)
+    total = value.sum(axis=1)
+    return vector[:, :, 2], np.divide(value[:, 2] - value[:, 1], total, out=np.zeros(len(total)), where=total >= 1e-12)
+
+
+def fiber_directions(found: np.ndarray, inner: float = 1.5, outer: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class (1: across, 2: along z; 0: flat cube), unit (x, y, z) of least change, confidence.
+
+    The tensor is smoothed by ``outer`` and averaged over the cube: together a weight for each axis.
+    """
+    size = found.shape[1]
+    value, vector = tensors(found, _smoothing(size, outer).mean(axis=0), _smoothing(size, inner))
+    flat = found.reshape(len(found), -1).astype(float).std(axis=1) < 1e-6
+    along = np.where(flat[:, None], 0.0, vector[:, ::-1, 0])
+    sure = np.divide(value[:, 2], value[:, 0], out=np.ones(len(found)), where=value[:, 0] > 1e-10)
+    return np.where(flat, 0, np.where(np.abs(along[:, 2]) > 0.707, 2, 1)), along, np.where(flat, 0.0, sure)
+
+
+def _each(batches, half: int):
+    """Ids and cubes, a few million voxels at a time."""
+    step = max(1, 2_000_000 // (2 * half) ** 3)
+    for batch in batches:
+        for at in range(0, len(batch), step):
+            part = batch.iloc[at : at + step]
+            yield part["sample_id"].to_numpy(), np.frombuffer(b"".join(part["body"]), "<f4").reshape(-1, *(2 * half,) * 3)
 
 
 def cube_normals(found: DataFrame, half: int, sigma: float = 3.0) -> DataFrame:
     """sample_id, tx, ty, tz, anisotropy of each cube."""
 
     def run(batches):
-        for batch in batches:
-            got = [centre_normal(np.frombuffer(bytes(b), "<f4").reshape((2 * half,) * 3), sigma) for b in batch["body"]]
-            v = np.array([g[0] for g in got]).reshape(-1, 3)
-            yield pd.DataFrame({"sample_id": batch["sample_id"], "tx": v[:, 2], "ty": v[:, 1], "tz": v[:, 0], "anisotropy": [g[1] for g in got]})
+        for ids, some in _each(batches, half):
+            v, a = centre_normals(some, sigma)
+            yield pd.DataFrame({"sample_id": ids, "tx": v[:, 2], "ty": v[:, 1], "tz": v[:, 0], "anisotropy": a})
 
     return found.mapInPandas(run, "sample_id long, tx double, ty double, tz double, anisotropy double")
 
@@ -146,10 +170,9 @@ def cube_fibers(found: DataFrame, half: int) -> DataFrame:
     """sample_id, fiber_class, dx, dy, dz, confidence of each cube."""
 
     def run(batches):
-        for batch in batches:
-            got = [fiber_direction(np.frombuffer(bytes(b), "<f4").reshape((2 * half,) * 3)) for b in batch["body"]]
-            v = np.array([g[1] for g in got]).reshape(-1, 3)
-            yield pd.DataFrame({"sample_id": batch["sample_id"], "fiber_class": [g[0] for g in got], "dx": v[:, 0], "dy": v[:, 1], "dz": v[:, 2], "confidence": [g[2] for g in got]})
+        for ids, some in _each(batches, half):
+            kind, v, sure = fiber_directions(some)
+            yield pd.DataFrame({"sample_id": ids, "fiber_class": kind, "dx": v[:, 0], "dy": v[:, 1], "dz": v[:, 2], "confidence": sure})
 
     return found.mapInPandas(run, "sample_id long, fiber_class int, dx double, dy double, dz double, confidence double")
 
@@ -222,11 +245,14 @@ def layer_gaps(profiles: DataFrame, distance: int = 8) -> DataFrame:
     """sample_id, gap: steps between successive peaks at or above the median of each profile (sample_id, pos, value)."""
 
     def run(group, p: pd.DataFrame) -> pd.DataFrame:
-        y = p.sort_values("pos")["value"].to_numpy(float)
-        gaps = np.diff(find_peaks(y, float(np.median(y)), distance)).astype(float)
-        return pd.DataFrame({"sample_id": np.full(len(gaps), group[0], np.int64), "gap": gaps})
+        ids, gaps = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for sample, own in p.sort_values(["sample_id", "pos"]).groupby("sample_id"):
+            y = own["value"].to_numpy(float)
+            gaps.append(np.diff(find_peaks(y, float(np.median(y)), distance)).astype(float))
+            ids.append(np.full(len(gaps[-1]), sample, np.int64))
+        return pd.DataFrame({"sample_id": np.concatenate(ids), "gap": np.concatenate(gaps)})
 
-    return profiles.select("sample_id", "pos", "value").groupBy("sample_id").applyInPandas(run, "sample_id long, gap double")
+    return profiles.select("sample_id", "pos", "value").groupBy(F.expr(_FEW)).applyInPandas(run, "sample_id long, gap double")
 
 
 def layer_distance(segments: DataFrame, faces: DataFrame, samples: DataFrame, chunks: DataFrame, edge: int, reach: int = 200, shift: int = -1, distance: int = 8) -> DataFrame:
@@ -282,8 +308,8 @@ def sweep(samples: DataFrame, chunks: DataFrame, edge: int, halves: tuple[int, .
 
 
 def texture(points: DataFrame, least: int = 10) -> DataFrame:
-    """segment_id, vertex_id, shade in [0, 1] between the 2nd and 98th percentile of positive values; null under ``least`` of them."""
+    """segment_id, vertex_id, shade in [0, 1] between the 2nd and 98th percentile of positive values; null under ``least`` of them or where those are equal."""
     lit = points.filter("value > 0").groupBy("segment_id").agg(F.percentile("value", F.array(F.lit(0.02), F.lit(0.98))).alias("p"), F.count("*").alias("n"))
     got = points.join(lit, "segment_id", "left")
     span = F.col("p")[1] - F.col("p")[0]
-    return got.select("segment_id", "vertex_id", F.when(F.col("n") >= least, G.clip((F.col("value") - F.col("p")[0]) / F.when(span > 0, span).otherwise(1.0), 0.0, 1.0)).alias("shade"))
+    return got.select("segment_id", "vertex_id", F.when((F.col("n") >= least) & (span > 0), G.clip((F.col("value") - F.col("p")[0]) / span, 0.0, 1.0)).alias("shade"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def half_edges(faces: DataFrame) -> DataFrame:
     """segment_id, face_id, u < w for the three sides of each face."""
@@ -37,16 +39,17 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFram
 
     Labels spread along edges and jump to their label's label each round, so
     the rounds grow with the logarithm of a component's extent; each round is
-    checkpointed to the shared folder.
+    a written table in the shared folder.
     """
-    both = edges.select("segment_id", F.col("i").alias("a"), F.col("j").alias("b")).union(edges.select("segment_id", F.col("j").alias("a"), F.col("i").alias("b"))).filter("a <> b").distinct().checkpoint()
+    edges = stored(edges.select("segment_id", "i", "j").filter("i <> j").distinct(), "edges")
+    both = edges.toDF("segment_id", "a", "b").union(edges.select("segment_id", "j", "i"))
     now = nodes.select("segment_id", F.col(node).alias("a"), F.col(node).alias("label"))
     before = None
     while True:
         seen = both.join(now.select("segment_id", F.col("a").alias("b"), "label"), ["segment_id", "b"]).groupBy("segment_id", "a").agg(F.min("label").alias("least"))
         spread = now.join(seen, ["segment_id", "a"], "left").select("segment_id", "a", F.least("label", "least").alias("label"))
         jump = spread.select("segment_id", F.col("a").alias("label"), F.col("label").alias("far"))
-        now = spread.join(jump, ["segment_id", "label"]).select("segment_id", "a", F.col("far").alias("label")).checkpoint()
+        now = stored(spread.join(jump, ["segment_id", "label"]).select("segment_id", "a", F.col("far").alias("label")), "labels")
         mark = now.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if mark == before:
             return now.select("segment_id", F.col("a").alias(node), "label")
@@ -73,7 +76,7 @@ def ring_pairs(pairs: DataFrame, faces: DataFrame, doublings: int = 3) -> DataFr
     reach = pairs.select("segment_id", "i", "j").union(pairs.select("segment_id", F.col("j").alias("i"), F.col("i").alias("j"))).union(faces.select("segment_id", F.col("face_id").alias("i"), F.col("face_id").alias("j"))).distinct()
     for _ in range(doublings):
         onward = reach.select("segment_id", F.col("i").alias("j"), F.col("j").alias("k"))
-        reach = reach.join(onward, ["segment_id", "j"]).select("segment_id", "i", F.col("k").alias("j")).distinct().checkpoint()
+        reach = stored(reach.join(onward, ["segment_id", "j"]).select("segment_id", "i", F.col("k").alias("j")).distinct(), "rings")
     return reach
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .operators import faces as faces_op
-from .operators import graph, segments, volume
-from .plans import scoring
+from .operators import ct, graph, segments, volume
+from .plans import clusters, scoring
 from .plans.derive import meshes, with_mesh
+from .sources.volumes import formula_chunks
 
 AXIS = [(-5.0, 9.5, -40.0), (10.0, 8.5, -35.0), (30.0, 11.0, -45.0)]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,14 +37,6 @@ def _r(name: str, alias: str | None = None):
     return F.round(name, 6).alias(alias or name)
 
 
-def _checkpointed(spark: SparkSession) -> None:
-    """Loops checkpoint to the folder of spark.checkpoint.dir; a local session without one gets its own."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meshlens-"))
-
-
 def _quality(g: DataFrame) -> DataFrame:
     share = lambda c: F.avg(F.expr(f"if({c}, 1D, 0D)"))
     s = g.groupBy("segment_id").agg(share("coalesce(aspect, 1e300D) < 5").alias("a"), share("min_angle > 15").alias("b"), F.stddev_pop("area").alias("sd"), F.avg("area").alias("mean"))
@@ -137,15 +130,24 @@ _SEEN = """both_ as (select segment_id, i a, j b from pair where i <> j union se
 
 @query(with_mesh(_SEEN + " select s segment_id, lab label, count(*) n_faces from cc group by all"))
 def components(spark, sf_dir):
-    _checkpointed(spark)
     f = meshes(spark, sf_dir)[1]
     found = graph.components(f.select("segment_id", F.col("face_id").alias("id")), graph.face_pairs(f))
     return found.groupBy("segment_id", "label").agg(F.count("*").alias("n_faces"))
 
 
-@query()
+_FANS = """en as (select distinct segment_id, face_id, u, w, unnest([u, w]) vx from h),
+    lk0 as (select segment_id, vx, face_id a, lead(face_id) over (partition by segment_id, vx, u, w order by face_id) b from en),
+    lk as (select segment_id, vx, a, b from lk0 where b is not null union select segment_id, vx, b, a from lk0 where b is not null),
+    inc as (select distinct segment_id, unnest([v0, v1, v2]) vx, face_id from f),
+    fc(s, x, a, lab) using key (s, x, a) as (select segment_id, vx, face_id, face_id from inc union
+        select e.segment_id, e.vx, e.b, min(fc.lab) from fc join lk e on e.segment_id = fc.s and e.vx = fc.x and e.a = fc.a
+        join recurring.fc o on o.s = e.segment_id and o.x = e.vx and o.a = e.b where fc.lab < o.lab group by e.segment_id, e.vx, e.b),
+    fans as (select s, x, count(distinct lab) n from fc group by all),
+    vm as (select s segment_id, count(*) filter (n > 1) n_pinched, count(*) n_vertices from fans group by s)"""
+
+
+@query(with_mesh(_FANS + " select * from vm"))
 def vertex_manifold(spark, sf_dir):
-    _checkpointed(spark)
     fans = graph.vertex_fans(meshes(spark, sf_dir)[1])
     return fans.groupBy("segment_id").agg(F.sum((F.col("fans") > 1).cast("long")).alias("n_pinched"), F.count("*").alias("n_vertices"))
 
@@ -222,9 +224,13 @@ def self_intersections(spark, sf_dir):
     return segments.measure(*meshes(spark, sf_dir), metrics=("self_intersections",)).select("segment_id", "score", F.col("details")["pairs"].cast("long").alias("n_pairs"))
 
 
-@query()
+@query(with_mesh(f"""{_FANS}, {_SEEN}, ed as (select segment_id, max(faces) most, count(*) filter (faces <> 2) odd from m group by all),
+    ps as (select s segment_id, count(distinct lab) parts, count(*) n from cc group by s)
+    select segment_id, round(4e-1 * (case when most <= 2 then 5e-1 else 0e0 end + case when n_pinched = 0 then 5e-1 else 0e0 end) + 3e-1 / parts
+        + 3e-1 * least(1e0, greatest(0e0, 1 - odd / greatest(floor(15e-1 * n), 1))), 6) score, parts n_components, odd n_boundary_edges
+    from ed join ps using (segment_id) join vm using (segment_id)"""))
 def topology(spark, sf_dir):
-    return segments.measure(*meshes(spark, sf_dir), metrics=("topology",)).select("segment_id", "score", F.col("details")["n_components"].cast("long").alias("n_components"), F.col("details")["n_boundary_edges"].cast("long").alias("n_boundary_edges"))
+    return segments.measure(*meshes(spark, sf_dir), metrics=("topology",)).select("segment_id", _r("score"), F.col("details")["n_components"].cast("long").alias("n_components"), F.col("details")["n_boundary_edges"].cast("long").alias("n_boundary_edges"))
 
 
 _AXIS_VALUES = ", ".join(f"({y}e0, {x}e0, {z}e0)" for y, x, z in AXIS)
@@ -371,21 +377,104 @@ def layer_distance(spark, sf_dir):
     return segments.layer_scores(event_profiles(spark, sf_dir))
 
 
-@query()
+@query(with_mesh(f"""c as (select segment_id, unnest([v0, v1, v2]) vertex_id, px, py, pz from g),
+    s as (select segment_id, vertex_id, sum(px) px, sum(py) py, sum(pz) pz, sqrt(sum(px)**2 + sum(py)**2 + sum(pz)**2) l from c group by all),
+    pt as (select segment_id * 1000 + vertex_id sample_id, pos, cast(round_even(z + pos * pz / l, 0) as integer) - 1 iz, cast(round_even(y + pos * py / l, 0) as integer) - 1 iy, cast(round_even(x + pos * px / l, 0) as integer) - 1 ix
+        from v join s using (segment_id, vertex_id), range(-6, 7) t(pos) where l > 0)
+    select sample_id, cast(pos as integer) pos, case when iz between 0 and 23 and iy between 0 and 23 and ix between 0 and 23 then cast({_VOXEL} as double) else 0e0 end as value from pt"""))
 def ray_profile(spark, sf_dir):
     v, f = meshes(spark, sf_dir)
-    n = faces_op.vertex_normals(faces_op.face_geometry(v, f)).filter("nx is not null and vertex_id % 40 = 21")
+    n = faces_op.vertex_normals(faces_op.face_geometry(v, f)).filter("nx is not null")
     samples = v.join(n, ["segment_id", "vertex_id"]).withColumn("sample_id", F.col("segment_id") * 1000 + F.col("vertex_id"))
     return volume.ray_profiles(samples, _voxels(spark), 6)
 
 
-@query()
+@query(with_mesh("""pk as (select a.segment_id, a.vertex_id, a.z > 3 own, b.z > 3 other, b.vertex_id o, round((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2, 9) d2 from v a join v b on a.segment_id = b.segment_id),
+    kn as (select *, row_number() over (partition by segment_id, vertex_id order by d2, o) r from pk),
+    vt as (select segment_id, vertex_id, count(*) filter (own <> other) diff, count(*) filter (own = other) same from kn where r <= 7 and o <> vertex_id group by all)
+    select segment_id, round(greatest(0e0, least(1e0, 1 - avg(case when diff > same then 1e0 else 0e0 end + case when same / (same + diff) < 5e-1 then 1e0 else 0e0 end) / 25e-2)), 6) score from vt group by segment_id"""))
 def fiber_vote(spark, sf_dir):
     v = meshes(spark, sf_dir)[0]
     s = v.withColumns({"fiber_class": F.when(F.col("z") > 3, 2).otherwise(1), "dx": F.when(F.col("z") > 3, 0.0).otherwise(1.0), "dy": F.lit(0.0), "dz": F.when(F.col("z") > 3, 1.0).otherwise(0.0)})
     votes = volume.fiber_votes(s, segments.neighbours(v, 7))
     bad = F.avg(F.col("flip").cast("double") + F.col("broken").cast("double"))
-    return votes.groupBy("segment_id").agg(G.falling_score(bad, 0.25).alias("score"))
+    return votes.groupBy("segment_id").agg(G.falling_score(bad, 0.25).alias("score")).withColumn("score", F.round("score", 6))
+
+
+_SHAPE, _EDGE = (48, 48, 48), 16
+
+
+def _chunks(spark):
+    """A volume of 48 x 48 x 48 voxels: layers along z, ripples along x."""
+    return formula_chunks(spark, lambda iz, iy, ix: (iz * 7 + iy * 3 + ix * 5) % 200, _SHAPE, _EDGE)
+
+
+def _samples(spark, sf_dir, n: int = 500):
+    """Up to n vertices of each segment, the metrics' own sample, placed in the volume, with normals; those in bounds."""
+    v, f = meshes(spark, sf_dir)
+    n_ = faces_op.vertex_normals(faces_op.face_geometry(v, f))
+    placed = ct.sample_vertices(v, n).join(n_, ["segment_id", "vertex_id"]).withColumn("sample_id", F.col("segment_id") * 1000 + F.col("vertex_id"))
+    return volume.in_bounds(placed.withColumns({"iz": F.rint(F.col("z") * 2 + 15).cast("int"), "iy": F.rint(F.col("y") + 14).cast("int"), "ix": F.rint(F.col("x") + 14).cast("int")}), _SHAPE, 4)
+
+
+@query(with_mesh(f"""p as (select segment_id, vertex_id, cast(round_even(z * 4, 0) as integer) + 20 iz, cast(round_even(y, 0) as integer) * 3 iy, cast(round_even(x, 0) as integer) + 2 ix from v)
+    select segment_id, vertex_id, case when iz < 48 and iy < 48 and ix < 48 and iz >= 0 then cast({_VOXEL} as double) else 0e0 end as value from p"""))
+def chunk_lookup(spark, sf_dir):
+    at = meshes(spark, sf_dir)[0].select("segment_id", "vertex_id", (F.rint(F.col("z") * 4).cast("int") + 20).alias("iz"), (F.rint("y").cast("int") * 3).alias("iy"), (F.rint("x").cast("int") + 2).alias("ix"))
+    return ct.chunk_values(at, _chunks(spark), _EDGE, parts=4).select("segment_id", "vertex_id", "value")
+
+
+def _segments(spark, sf_dir):
+    return meshes(spark, sf_dir)[0].select("segment_id").distinct()
+
+
+@query()
+def ct_sheet_switching(spark, sf_dir):
+    rows = ct.ct_sheet_switching(_segments(spark, sf_dir), meshes(spark, sf_dir)[1], _samples(spark, sf_dir), _chunks(spark), _EDGE, half=4, sigma=2.0)
+    return rows.select("segment_id", _r("score"), F.size("problem_faces").alias("n_problem_faces"))
+
+
+@query()
+def fiber_coherence(spark, sf_dir):
+    s = _samples(spark, sf_dir, 300)
+    fibers = ct.cube_fibers(ct.cubes(s, _chunks(spark), 4, _EDGE), 4)
+    return ct.fiber_coherence(_segments(spark, sf_dir), meshes(spark, sf_dir)[1], s, fibers).select("segment_id", _r("score"), F.size("problem_faces").alias("n_problem_faces"))
+
+
+@query()
+def ct_layer_distance(spark, sf_dir):
+    rows = ct.layer_distance(_segments(spark, sf_dir), meshes(spark, sf_dir)[1], _samples(spark, sf_dir, 300), _chunks(spark), _EDGE, reach=40)
+    return rows.select("segment_id", _r("score"), F.size("problem_faces").alias("n_problem_faces"))
+
+
+@query()
+def ct_alignment(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    angles = ct.normal_angles(s, ct.cube_normals(ct.cubes(s, _chunks(spark), 4, _EDGE), 4, 2.0))
+    values = ct.chunk_values(s.select("segment_id", "iz", "iy", "ix"), _chunks(spark), _EDGE, parts=4)
+    return ct.alignment(s, _SHAPE, values, angles)
+
+
+@query(with_mesh(_RINGS + """, fl as (select segment_id, face_id, area from dev where deviation > 35),
+    fe as (select p.segment_id, i a, j b from pair p join fl x on x.segment_id = p.segment_id and x.face_id = i join fl y on y.segment_id = p.segment_id and y.face_id = j),
+    fb as (select * from fe union select segment_id, b, a from fe),
+    cc(s, a, lab) using key (s, a) as (select segment_id, face_id, face_id from fl union
+        select e.segment_id, e.b, min(cc.lab) from cc join fb e on e.segment_id = cc.s and e.a = cc.a join recurring.cc o on o.s = e.segment_id and o.a = e.b where cc.lab < o.lab group by e.segment_id, e.b),
+    big as (select s segment_id, lab from cc group by s, lab having count(*) >= 20),
+    mb as (select cc.s segment_id, cc.lab, cc.a face_id from cc join big on big.segment_id = cc.s and big.lab = cc.lab),
+    cen as (select segment_id, face_id, (ax+bx+cx)/3 cx, (ay+b_y+cy)/3 cy, (az+bz+cz)/3 cz from t),
+    rf as (select distinct h.segment_id, h.face_id from h join m on m.segment_id = h.segment_id and m.u = h.u and m.w = h.w where faces = 1),
+    hd as (select mb.segment_id, mb.lab, count(*) face_count, avg(cx) mx, avg(cy) my, avg(cz) mz, count(rf.face_id) / count(*) bf
+        from mb join cen using (segment_id, face_id) left join rf using (segment_id, face_id) group by all),
+    tp as (select *, row_number() over (partition by segment_id order by face_count desc, lab) rank from hd),
+    nr as (select tp.segment_id, rank, face_id, cz, row_number() over (partition by tp.segment_id, rank order by round((cx-mx)**2 + (cy-my)**2 + (cz-mz)**2, 9), face_id) nth from tp join cen using (segment_id) where rank <= 30),
+    zj as (select nr.segment_id, rank, round(abs(median(cz) filter (mb.face_id is not null) - median(cz) filter (mb.face_id is null)), 1) z from nr left join mb using (segment_id, face_id) where nth <= 500 group by all)
+    select segment_id, cast(rank as integer) rank, face_count, round(mx, 9) mx, round(my, 9) my, round(mz, 9) mz, round(bf, 2) boundary_frac, coalesce(z, 0e0) z_jump from tp join zj using (segment_id, rank)"""))
+def problem_clusters(spark, sf_dir):
+    v, f = meshes(spark, sf_dir)
+    found = clusters.cluster_faces(segments.measure(v, f, metrics=("sheet_switching",)), f)
+    top = clusters.describe(found, faces_op.face_geometry(v, f), f, segments.deviations(v, f))
+    return top.select("segment_id", "rank", "face_count", *(F.round(f"m{c}", 9).alias(f"m{c}") for c in "xyz"), "boundary_frac", "z_jump")
 
 
 _FRAGMENTS = "select s_suppkey fragment_id, cast(40 + s_suppkey % 7 as integer) height, cast(50 + s_suppkey % 5 as integer) width from supplier"
@@ -420,10 +509,36 @@ def dice(spark, sf_dir):
     return volume.dice(_blend(spark, sf_dir).withColumn("label", F.expr("if((x + y) % 3 = 0, 1D, 0D)"))).withColumn("dice", F.round("dice", 6))
 
 
-@query("""select o_orderkey, coalesce(nullif(regexp_extract(path, 'PHerc\\d+[A-Z]?', 0), ''), 'unknown') scroll, coalesce(nullif(regexp_extract(path, '\\d{14}', 0), ''), 'none') segment
-    from (select o_orderkey, '/data/PHerc' || o_custkey || case when o_orderkey % 2 = 0 then 'B' else '' end || '/paths/' || case when o_orderkey % 3 = 0 then '20231001' || lpad(cast(o_orderkey as varchar), 6, '0') else 'auto' end || '.obj' path from orders)""")
+_PATH_SQL = """select o_orderkey, '/data/' || case when o_orderkey % 5 = 0 then 'PHercParis' || o_custkey || 'Fr7' else 'PHerc' || o_custkey end || case when o_orderkey % 2 = 0 then 'B' else '' end || '/paths/'
+    || case when o_orderkey % 3 = 0 then '20231001' || lpad(cast(o_orderkey as varchar), 6, '0') || '_v2' else 'auto' end || '.obj' path from orders"""
+
+
+@query(rf"""select o_orderkey, nullif(regexp_extract(path, 'PHerc\d+[A-Z]?|PHercParis\d+(?:Fr\d+)?', 0), '') scroll,
+    coalesce(nullif(regexp_extract(regexp_extract(path, '([^/]*)\.obj$', 1), '\d{{14}}', 0), ''), regexp_extract(path, '([^/]*)\.obj$', 1)) segment from ({_PATH_SQL})""")
 def id_extract(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    path = F.concat(F.lit("/data/PHerc"), F.col("o_custkey").cast("string"), F.expr("if(o_orderkey % 2 = 0, 'B', '')"), F.lit("/paths/"), F.expr("if(o_orderkey % 3 = 0, '20231001' || lpad(cast(o_orderkey as string), 6, '0'), 'auto')"), F.lit(".obj"))
-    pick = lambda pattern, other: F.coalesce(F.nullif(F.regexp_extract("path", pattern, 0), F.lit("")), F.lit(other))
-    return orders.select("o_orderkey", path.alias("path")).select("o_orderkey", pick(r"PHerc\d+[A-Z]?", "unknown").alias("scroll"), pick(r"\d{14}", "none").alias("segment"))
+    path = F.concat(F.lit("/data/"), F.expr("if(o_orderkey % 5 = 0, 'PHercParis' || o_custkey || 'Fr7', 'PHerc' || o_custkey)"), F.expr("if(o_orderkey % 2 = 0, 'B', '')"), F.lit("/paths/"), F.expr("if(o_orderkey % 3 = 0, '20231001' || lpad(cast(o_orderkey as string), 6, '0') || '_v2', 'auto')"), F.lit(".obj"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", path.alias("path"))
+    return orders.select("o_orderkey", G.scroll_id(F.col("path")).alias("scroll"), G.segment_name(F.col("path")).alias("segment"))
+
+
+_TIERS = "select fragment_id, y0, x0, coverage from cv where coverage > 5e-1"
+
+
+@query(f"""with f as ({_FRAGMENTS}), ys as (select fragment_id, width, unnest(range(0, height - 15, 8)) y0 from f), ti as (select fragment_id, y0, unnest(range(0, width - 15, 8)) x0 from ys),
+    cv as (select fragment_id, cast(y0 as integer) y0, cast(x0 as integer) x0, count(*) filter ((y0 + ty + x0 + tx) % 7 < (fragment_id + y0 + ty) % 8) / 256e0 coverage from ti, range(16) a(ty), range(16) b(tx) group by all) {_TIERS}""")
+def tile_coverage(spark, sf_dir):
+    fragments = _fragments(spark, sf_dir)
+    cells = fragments.withColumn("y", F.explode(F.expr("sequence(0, height - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, width - 1)")))
+    mask = cells.selectExpr("fragment_id", "y", "x", "if((y + x) % 7 < (fragment_id + y) % 8, 1D, 0D) as mask")
+    return volume.covered_tiles(volume.tile_origins(fragments, 16, 8), mask, 16)
+
+
+@query("""with p as (select vec_id, label, embedding[1]::double z, case when vec_id % 9 = 0 then null else (vec_id % 50) / 49e0 end t from embeddings),
+    h as (select *, least(greatest(0e0, least(1e0, t)) * 300, 29999e-2) / 60 hue from p)
+    select vec_id, case when t is null then 127 else cast(floor(greatest(0e0, least(1e0, abs(hue - 3) - 1)) * 255) as integer) end r,
+        case when t is null then 127 else cast(floor(greatest(0e0, least(1e0, 2 - abs(hue - 2))) * 255) as integer) end g,
+        case when t is null then 127 else cast(floor(greatest(0e0, least(1e0, 2 - abs(hue - 4))) * 255) as integer) end b from h""")
+def hue_ramp(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", "if(vec_id % 9 = 0, null, (vec_id % 50) / 49D) as t")
+    r, g, b = G.hue_rgb(F.col("t"))
+    return e.select("vec_id", r.alias("r"), g.alias("g"), b.alias("b"))
