@@ -43,7 +43,31 @@ def _parse(batches):
 def read_obj(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """vertices and faces of all OBJ files below ``root``; a file is read by one task."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.obj").load(root).select("path", "content")
-    rows = files.mapInPandas(_parse, FORMAT)
+    return _tables(files.mapInPandas(_parse, FORMAT))
+
+
+def _parse_bytes(batches):
+    import pandas as pd
+
+    from .meshbytes import parse_ply, parse_stl
+
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            stem, kind = path.rsplit("/", 1)[1].rsplit(".", 1)
+            xyz, tri = (parse_ply if kind.lower() == "ply" else parse_stl)(bytes(content))
+            for name, rows in (("v", xyz), ("f", tri.astype(float))):
+                yield pd.DataFrame({"segment_id": stem, "kind": name, "id": range(len(rows)), "a": rows[:, 0], "b": rows[:, 1], "c": rows[:, 2]})
+
+
+def read_meshes(spark: SparkSession, root: str, kind: str = "obj") -> tuple[DataFrame, DataFrame]:
+    """vertices and faces of all files of one kind (obj, ply, stl) below ``root``."""
+    if kind == "obj":
+        return read_obj(spark, root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}").load(root).select("path", "content")
+    return _tables(files.mapInPandas(_parse_bytes, FORMAT))
+
+
+def _tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     vertices = rows.filter("kind = 'v'").select("segment_id", F.col("id").alias("vertex_id"), F.col("a").alias("x"), F.col("b").alias("y"), F.col("c").alias("z"))
     faces = rows.filter("kind = 'f'").select("segment_id", F.col("id").alias("face_id"), *(F.col(c).cast("long").alias(f"v{k}") for k, c in enumerate("abc")))
     return vertices, faces
