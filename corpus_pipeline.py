@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import exact_dedup, packing, pii, simhash, toxicity
+from meshlens.llm import exact_dedup, near_dedup, packing, pii, toxicity
 from meshlens.llm.common import materialize, table
 from meshlens.llm.queries import PII_KEY, TOXIC_FROM, tokenizer, toxicity_model
 
@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id."""
-    return simhash.dedup_similar(docs, shingle=3, bits=2)
+    """Of each group linked by a Jaccard similarity of 0.8 of five-word shingles the document with the smallest id."""
+    return near_dedup.dedup_similar(docs)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
-    ("simhash_near_dedup", drop_near_copies),
+    ("near_dedup", drop_near_copies),
     ("pii", replace_private),
     ("best_fit_packing", pack),
 ]
 
-#: Toxicity, SimHash and packing have no SQL form; the tests hold the stages against brute force.
+#: Toxicity, near dedup and packing have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

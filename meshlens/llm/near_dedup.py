@@ -1,0 +1,216 @@
+"""Near-dedup by word shingles: texts whose shingle sets have a Jaccard similarity of at least a threshold.
+
+A text is the set of its shingles' XXH64 values (seed 42); equal sets are one
+node.  Candidates share all ``ROWS`` minima of one of ``BANDS`` groups of
+minhashes: a pair of similarity s is missed with probability
+(1 - s^ROWS)^BANDS, 1.4e-7 at 0.8 and less above.  Every candidate is verified
+on the whole sets in integers, so no pair below the threshold is linked.
+
+Buckets give all pairs of nodes that are not yet in one component, if there
+are at most ``EACH`` for each node.  Larger ones give the pairs with ``CENTRES``
+nodes, another choice each round, and come again with the components found so
+far; after ``ROUNDS`` rounds they give all pairs that are left.
+
+Null and wordless texts have the hash of the empty text as their set; texts
+with fewer words than a shingle have one shingle.  Rows with a null id take
+part; a component's id is the smallest non-null one in it.  Rows that share an
+id get a row each.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import components
+from .wordhash import mix64
+
+BANDS, ROWS = 30, 4
+EACH, CENTRES, ROUNDS = 16, 8, 6
+
+
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes of a text's shingles, ascending; the bytes are UTF-8."""
+    words = text.lower().split()  # bytes: A-Z only
+    body = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(body, 42)], np.uint64)
+    edges = np.cumsum([0] + [len(w) + 1 for w in words])
+    starts, ends = edges[: len(words) - shingle + 1].tolist(), (edges[shingle:] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(body[a:b], 42) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def node_of(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), 42)
+
+
+_SALTS = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
+_XOR, _TIMES = _SALTS[: BANDS * ROWS, None], _SALTS[BANDS * ROWS :, None] | np.uint64(1)
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """The bucket keys of a set."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 512):
+        least = np.minimum(least, ((own[None, at : at + 512] ^ _XOR) * _TIMES).min(axis=1))
+    raw = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(raw[band].tobytes(), band) for band in range(BANDS)], np.uint64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * least.denominator >= (len(a) + len(b) - common) * least.numerator
+
+
+def _sketch(shingle: int):
+    schema = pa.schema([("_near_id", pa.int64()), ("_near_node", pa.int64()), ("_near_keys", pa.binary()), ("_near_text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, keys = [], []
+            for value in batch.column("_near_text"):
+                body = value.as_buffer()
+                own = shingle_set(body.to_pybytes() if body is not None else b"", shingle)
+                nodes.append(node_of(own))
+                keys.append(band_keys(own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("_near_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), batch.column("_near_text")], schema=schema)
+
+    return run
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("label", pa.int64())])
+    for batch in batches:
+        node = np.repeat(batch.column("_near_node").to_numpy(zero_copy_only=False), BANDS)
+        key = np.frombuffer(b"".join(batch.column("_near_keys").to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(node)], schema=schema)
+
+
+def bucket_pairs(node: np.ndarray, label: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a bucket's nodes with different labels, and whether these are all such pairs."""
+    n = len(node)
+    sizes = np.unique(label, return_counts=True)[1]
+    whole = turn >= ROUNDS or (n * n - int((sizes * sizes).sum())) // 2 <= EACH * n
+    # the choice of centres depends on the node and the round alone: buckets of one group agree
+    order = np.argsort(mix64(node.view(np.uint64) ^ np.uint64(turn + 1)), kind="stable")
+    u, v = [], []
+    for i, a in enumerate(order[: n if whole else CENTRES]):
+        rest = order[i + 1 :]
+        other = rest[label[rest] != label[a]]
+        u.append(np.full(len(other), node[a]))
+        v.append(node[other])
+    return np.concatenate(u), np.concatenate(v), whole
+
+
+def _pairs(turn: int):
+    schema = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+
+    def batch_of(key: np.ndarray | None, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()) if key is None else pa.array(key), pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=schema)
+
+    def solve(key: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole buckets, keys in order: pairs (key null) and the nodes of buckets that come again."""
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.concatenate((heads, [len(key)])))
+        pair = heads[sizes == 2]
+        pair = pair[label[pair] != label[pair + 1]]
+        yield batch_of(None, node[pair], node[pair + 1])
+        for at, n in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            own = node[at : at + n]
+            u, v, whole = bucket_pairs(own, label[at : at + n], turn)
+            yield batch_of(None, u, v)
+            if not whole:
+                yield batch_of(key[at : at + n], own, own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # the last bucket may go on
+
+        def flush(parts: list) -> Iterator[pa.RecordBatch]:
+            if parts:
+                # one batch for many small buckets
+                found = pa.Table.from_batches(solve(*(np.concatenate(c) for c in zip(*parts))), schema=schema)
+                yield from found.combine_chunks().to_batches(max_chunksize=65536)
+
+        for batch in batches:
+            key, node, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "label"))
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut or (held and held[-1][0][0] != key[0]):
+                yield from flush([*held, (key[:cut], node[:cut], label[:cut])])
+                held = []
+            held.append((key[cut:], node[cut:], label[cut:]))
+        yield from flush(held)
+
+    return run
+
+
+def _sets(shingle: int):
+    schema = pa.schema([("node", pa.int64()), ("own", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(b.to_pybytes() if (b := x.as_buffer()) is not None else b"", shingle).tobytes() for x in batch.column("_near_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_near_node"), pa.array(found, pa.binary())], schema=schema)
+
+    return run
+
+
+def _verified(least: Fraction):
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("a", "b"))
+            near = pa.array([similar(a, b, least) for a, b in zip(*sets)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(near), batch.column("v").filter(near)], schema=schema)
+
+    return run
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, component_id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_near_id"), F.col(text_col).cast("string").alias("_near_text"))
+    sketch = materialize(rows.mapInArrow(_sketch(shingle), "_near_id long, _near_node long, _near_keys binary, _near_text string"), "near-sketch")
+    nodes = materialize(sketch.groupBy("_near_node").agg(F.min("_near_id").alias("_near_first"), F.min("_near_keys").alias("_near_keys")), "near-nodes")
+    members = nodes.select("_near_node", "_near_keys").mapInArrow(_keys, "key long, node long, label long")
+    sets = links = None
+    for turn in range(ROUNDS + 1):
+        found = materialize(members.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(turn), "key long, u long, v long"), "near-pairs")
+        pairs = found.filter("key is null").select("u", "v").distinct()
+        if sets is None:  # of all nodes of buckets with company; later rounds have no others
+            company = found.select(F.col("u").alias("_near_node")).union(found.select(F.col("v").alias("_near_node"))).distinct()
+            texts = sketch.select("_near_node", "_near_text").join(company, "_near_node", "left_semi").groupBy("_near_node").agg(F.first("_near_text").alias("_near_text"))
+            sets = materialize(texts.mapInArrow(_sets(shingle), "node long, own binary"), "near-sets")
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+        verified = materialize(both.select("u", "v", "a", "b").mapInArrow(_verified(least), "u long, v long"), "near-links")
+        links = verified if links is None else links.union(verified)
+        roots = components(links)
+        again = found.filter("key is not null").select("key", F.col("u").alias("node"))
+        if again.isEmpty():
+            break
+        members = again.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+    linked = nodes.select("_near_node", "_near_first").join(roots.select(F.col("node").alias("_near_node"), F.col("root").alias("_near_root")), "_near_node", "left").withColumn("_near_root", F.coalesce("_near_root", "_near_node"))
+    smallest = linked.groupBy("_near_root").agg(F.min("_near_first").alias("_near_component"))
+    component = linked.join(smallest, "_near_root").select("_near_node", "_near_component")
+    out = sketch.select("_near_id", "_near_node").join(component, "_near_node")
+    return out.select(F.col("_near_id").alias(id_col), F.col("_near_component").alias("component_id"))
+
+
+def dedup_similar(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component.
+
+    Rows with a null id stay only if no row of their component has an id.
+    """
+    found = similar_components(docs, shingle, least, id_col, text_col)
+    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_near_id")).distinct()
+    named = docs.withColumn("_near_key", F.col(id_col).cast("long"))
+    return named.join(keep, named["_near_key"].eqNullSafe(keep["_near_id"]), "left_semi").drop("_near_key")
