@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MEMO_WORDS = 250_000
+OPEN = 64
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _PROBES = ("The", "thanedble,", "Éaux.", "weiß!!", "don", "a", "Straße---", "ñÑ?", "x%%%", "ZZZ***", "öÖ|", "re", "lls;")
 
@@ -204,61 +205,93 @@ def best_fit(counts: Counter, capacity: int) -> list[tuple[Pattern, int]]:
     return [(p, n) for groups in open_.values() for p, n in groups if n]
 
 
-def _fillings(space: int, sizes: list[int], counts: Counter, waste: int, most: int, budget: list[int]) -> list[tuple[int, Pattern]]:
-    """Undominated fillings of ``space``: (waste, pattern), least waste first."""
-    out: list[tuple[int, Pattern]] = []
-    for lost in range(min(waste, space) + 1):
-        target, steps = space - lost, [200]
-
-        def descend(rest: int, top: int, chosen: list[int]) -> None:
-            if len(out) >= most or steps[0] <= 0:
-                return
-            steps[0] -= 1
-            budget[0] -= 1
-            if rest == 0:
-                pattern = Counter(chosen)
-                for s in pattern:  # dominated: a longer piece would still fit in its place
-                    k = bisect_right(sizes, s)
-                    if k < len(sizes) and sizes[k] - s <= lost and counts[sizes[k]] > pattern.get(sizes[k], 0):
-                        return
-                if lost and (not sizes or sizes[0] <= lost and counts[sizes[0]] > pattern.get(sizes[0], 0)):
-                    return  # another piece fits beside it
-                out.append((lost, tuple(sorted(pattern.items(), reverse=True))))
-                return
-            k = bisect_right(sizes, min(rest, top)) - 1
-            tried = 0
-            while k >= 0 and tried < 12 and len(out) < most and steps[0] > 0:
-                s = sizes[k]
-                if s * 24 < rest:
-                    break
-                if counts[s] > chosen.count(s):
-                    tried += 1
-                    chosen.append(s)
-                    after = rest - s
-                    if after and after <= s and counts[after] > chosen.count(after):
-                        descend(0, after, [*chosen, after])
-                    else:
-                        descend(after, s, chosen)
-                    chosen.pop()
-                k -= 1
+def _fillings(space: int, sizes: list[int], counts: Counter, waste: int, budget: list[int]) -> Iterator[tuple[int, Pattern]]:
+    """Undominated fillings of ``space``: (waste, pattern), least waste first, longest pieces first.
 
-        descend(target, target, [])
-        if len(out) >= most or budget[0] <= 0:
+    ``reach[k]`` has a bit for each sum that pieces of the k smallest sizes make,
+    so that no way is entered that doesn't end in a filling.
+    """
+    reach, full = [1], (1 << (space + 1)) - 1
+    for s in sizes:
+        if s > space:
             break
-    return out
+        sums, left, n = reach[-1], min(counts[s], space // s), 1
+        while left:
+            n = min(n, left)
+            sums |= sums << (n * s)
+            left -= n
+            n *= 2
+        reach.append(sums & full)
+    chosen: list[tuple[int, int]] = []
+
+    def undominated(lost: int) -> bool:
+        pattern = dict(chosen)
+        for s in (*pattern, 0):  # a longer piece would still fit in its place, or another one beside (0)
+            k = bisect_right(sizes, s)
+            if k < len(sizes) and sizes[k] - s <= lost and counts[sizes[k]] > pattern.get(sizes[k], 0):
+                return False
+        return True
+
+    def descend(rest: int, k: int, lost: int) -> Iterator[tuple[int, Pattern]]:
+        """Fillings that add pieces of the k smallest sizes, ``rest`` in all."""
+        budget[0] -= 1
+        if rest == 0:
+            if undominated(lost):
+                yield lost, tuple(chosen)
+            return
+        k = min(k, bisect_right(sizes, rest))
+        while k and reach[k] >> rest & 1 and budget[0] > 0:
+            s = sizes[k - 1]
+            for n in range(min(counts[s], rest // s), 0, -1):
+                if reach[k - 1] >> (rest - n * s) & 1:
+                    chosen.append((s, n))
+                    yield from descend(rest - n * s, k - 1, lost)
+                    chosen.pop()
+                    if budget[0] <= 0:
+                        return
+            k -= 1
+
+    for lost in range(min(waste, space) + 1):
+        if reach[-1] >> (space - lost) & 1:
+            yield from descend(space - lost, len(reach) - 1, lost)
+        if budget[0] <= 0:
+            return
+
+
+def _fullest(counts: Counter, capacity: int) -> int:
+    """The most tokens that any bin can hold."""
+    sums = 1
+    for s, n in counts.items():
+        left, k = min(n, capacity // s), 1
+        while left:
+            k = min(k, left)
+            sums |= sums << (k * s)
+            left -= k
+            k *= 2
+        sums &= (1 << (capacity + 1)) - 1
+    return sums.bit_length() - 1
 
 
 def bin_completion(counts: Counter, capacity: int, nodes: int = 3000, effort: int = 400_000) -> list[tuple[Pattern, int]]:
-    """Patterns and multiplicities that pack the histogram in few bins."""
+    """Patterns and multiplicities that pack the histogram in few bins.
+
+    Branches are all undominated fillings, taken one at a time, each as often
+    as its lengths last and then once, until ``nodes`` branches or ``effort``
+    steps are used up.
+    """
     counts = Counter({s: n for s, n in counts.items() if n > 0})
     total = sum(s * n for s, n in counts.items())
     incumbent = best_fit(counts, capacity)
     best = sum(n for _, n in incumbent)
+    if not counts:
+        return incumbent
+    capacity = _fullest(counts, capacity)
     # bins for pieces over half the capacity can't be shared with one another
     bound = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
-    if best <= bound or not counts:
+    if best <= bound:
         return incumbent
-    left, budget = [nodes], [effort]
+    left, budget = nodes, [effort]
+    lengths = np.arange(capacity + 1)
 
     def listed(link: tuple | None) -> list[tuple[Pattern, int]]:
         out = []
@@ -267,44 +300,69 @@ def bin_completion(counts: Counter, capacity: int, nodes: int = 3000, effort: in
             out.append(step)
         return out[::-1]
 
-    # A branch is its parent's counts (an array that siblings share), the filling to apply and the steps so far (a linked list).
-    start = np.zeros(capacity + 1, np.int64)
-    for s, n in counts.items():
-        start[s] = n
-    stack: list[tuple] = [(start, (), 0, None, 0, 0)]
-    while stack and left[0] > 0 and budget[0] > 0 and best > bound:
-        parent, pattern, times, made, bins, wasted = stack.pop()
-        left[0] -= 1
-        own = parent.copy()
-        for s, k in pattern:
-            own[s] -= k * times
+    def options(own: np.ndarray, wasted: int, place: list) -> Iterator[tuple[Pattern, int, int]]:
+        """(pattern, how often, waste of one) around the largest length, from ``place`` on, which follows."""
+        sizes = np.flatnonzero(own).tolist()
+        here = Counter({s: int(own[s]) for s in sizes})
+        large = sizes[-1]
+        here[large] -= 1
+        rest = [s for s in sizes if here[s]]
+        for once in (False, True)[place[0] :]:
+            begin = place[1] if once == place[0] else 0
+            for nth, (lost, filling) in enumerate(_fillings(capacity - large, rest, here, (best - 1) * capacity - total - wasted, budget)):
+                if nth < begin:
+                    continue
+                allowed = (best - 1) * capacity - total - wasted
+                if lost > allowed:
+                    return
+                chosen = Counter(dict(filling))
+                chosen[large] += 1
+                often = min(int(own[s]) // k for s, k in chosen.items())
+                if lost:
+                    often = min(often, max(1, allowed // lost))
+                place[:] = once, nth + 1
+                if not once or often > 1:
+                    yield tuple(sorted(chosen.items(), reverse=True)), 1 if once else often, lost
+
+    # A branch is its counts, its options that are left, its place among them, the steps so far (a linked list), its bins and its waste.
+    # Only the last OPEN branches hold their options; the others make them anew from their place.
+    stack: list[list] = []
+
+    def enter(own: np.ndarray, made: tuple | None, bins: int, wasted: int) -> None:
+        nonlocal incumbent, best
         sizes = np.flatnonzero(own).tolist()
         if not sizes:
             if bins < best:
                 incumbent, best = listed(made), bins
-            continue
-        if bins + -(-int(own @ np.arange(capacity + 1)) // capacity) >= best:
-            continue
-        here = Counter({s: int(own[s]) for s in sizes})
-        if left[0] % 16 == 0:  # an incumbent: this start, completed by best fit
-            rest = best_fit(here, capacity)
+            return
+        if bins + -(-int(own @ lengths) // capacity) >= best:
+            return
+        if left % 16 == 0:  # an incumbent: this start, completed by best fit
+            rest = best_fit(Counter({s: int(own[s]) for s in sizes}), capacity)
             if bins + sum(n for _, n in rest) < best:
                 incumbent, best = listed(made) + rest, bins + sum(n for _, n in rest)
-                continue
-        allowed = (best - 1) * capacity - total - wasted
-        if allowed < 0:
+        stack.append([own, None, [False, 0], made, bins, wasted])
+        if len(stack) > OPEN:
+            stack[-1 - OPEN][1] = None
+
+    start = np.zeros(capacity + 1, np.int64)
+    for s, n in counts.items():
+        start[s] = n
+    enter(start, None, 0, 0)
+    while stack and left > 0 and budget[0] > 0 and best > bound:
+        own, more, place, made, bins, wasted = stack[-1]
+        if more is None:
+            more = stack[-1][1] = options(own, wasted, place)
+        step = next(more, None)
+        if step is None:
+            stack.pop()
             continue
-        large = sizes[-1]
-        here[large] -= 1
-        options = _fillings(capacity - large, [s for s in sizes if here[s]], here, min(allowed, 48), 4, budget)
-        for lost, filling in reversed(options):
-            chosen = Counter(dict(filling))
-            chosen[large] += 1
-            often = min(int(own[s]) // k for s, k in chosen.items())
-            if lost:
-                often = min(often, max(1, allowed // lost))
-            used = tuple(sorted(chosen.items(), reverse=True))
-            stack.append((own, used, often, (made, (used, often)), bins + often, wasted + lost * often))
+        left -= 1
+        pattern, often, lost = step
+        after = own.copy()
+        for s, k in pattern:
+            after[s] -= k * often
+        enter(after, (made, (pattern, often)), bins + often, wasted + lost * often)
     return incumbent
 
 

@@ -259,6 +259,23 @@ def test_bin_completion_is_optimal_on_small_cases():
 
 
 # 7
+def test_bin_completion_with_coarse_lengths():
+    """Every sequence must waste many tokens; pieces may be far shorter than the space."""
+    lengths = Counter([1200, 1200, 1050, 750, 600, 450, 300, 300])
+    assert sum(n for _, n in packing.bin_completion(lengths, 2048)) == 3
+    many = Counter({s: 1000 * n for s, n in lengths.items()})
+    plan = packing.bin_completion(many, 2048)
+    used = Counter()
+    for pattern, n in plan:
+        assert sum(s * k for s, k in pattern) <= 2048
+        for s, k in pattern:
+            used[s] += k * n
+    assert used == many
+    assert sum(n for _, n in plan) == 3000  # no sequence holds over 1950 of the 5,850,000 tokens
+    short = Counter({1000: 2, 548: 2, 20: 50})  # half of the short ones beside each pair
+    assert sum(n for _, n in packing.bin_completion(short, 2048)) == 2
+
+
 def test_nearest_recall_and_ties(spark):
     r = np.random.default_rng(7)
     x = r.normal(size=(600, 16)).astype("f4")
