@@ -61,7 +61,7 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_dropout.encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), dropout=0.1, seed=20, with_ids=False)
+    return merge_dropout.encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), dropout=0.1, seed=20)
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -318,6 +319,74 @@ def test_merge_dropout_round_trip(spark, sf_dir, odd_docs, no_docs):
     assert merge_dropout.encode_documents(no_docs, path).count() == 0
 
 
+def _agenda_by_hand(coder, unit, skips):
+    """Pieces of a unit: all pairs are looked at anew for each candidate."""
+    sym, skipped, came = [coder.ids.get("▁" if c == " " else c, c) if c != "▁" else c for c in unit], set(), 0
+    tag = list(range(len(sym)))  # a pair is its two symbols, told apart by their births
+    birth = len(sym)
+    while True:
+        found = [(*coder.pairs[sym[i], sym[i + 1]], i) for i in range(len(sym) - 1) if (sym[i], sym[i + 1]) in coder.pairs and (tag[i], tag[i + 1]) not in skipped]
+        if not found:
+            return sym, came
+        _, whole, i = min(found, key=lambda x: (x[0], x[2]))
+        came += 1
+        if skips(came - 1):
+            skipped.add((tag[i], tag[i + 1]))
+        else:
+            sym[i : i + 2], tag[i : i + 2], birth = [whole], [birth], birth + 1
+
+
+def _draws_by_hand(coder, key, place):
+    """Which candidates an occurrence skips, from the keyed draws."""
+    m = lambda x: int(merge_dropout.mix64(np.array([x & (1 << 64) - 1], np.uint64))[0])
+    own, at, out = m(m(key + m(coder.seed)) ^ m(place + 1)), -1, set()
+    for nth in range(400):
+        draw, taken, keep = m(own + (nth + 1) * 0x9E3779B97F4A7C15), 0, 1 << 64
+        while True:
+            keep -= -(-keep * int(coder.dropout * (1 << 64)) >> 64)
+            if draw < (1 << 64) - keep:
+                break
+            taken += 1
+        at += 1 + taken
+        out.add(at)
+    return out
+
+
+def test_merge_dropout_by_hand(monkeypatch):
+    """Batches, the heap and kept nodes give what a plain agenda gives, draw by draw."""
+    coder = merge_dropout.MergeDropout(tokenizer("piece_bpe_32k.model"), 0.3, 7)
+    texts = ["the international understanding of nations, the  nation \n unlike", "日本é▁x aaaaaaaaab", "rerererere" * 3]
+    for limit in (merge_dropout.LONG, 0):
+        monkeypatch.setattr(merge_dropout, "LONG", limit)
+        coder._forget()
+        for key, text in enumerate([*texts, *texts, *texts]):
+            want = []
+            for place, unit in enumerate(merge_dropout._UNIT.findall(b" " + text.encode())):
+                sym, _ = _agenda_by_hand(coder, unit.decode(), _draws_by_hand(coder, key, place).__contains__)
+                want += [i for x in sym for i in ([x] if isinstance(x, int) else [coder.byte[b] for b in x.encode()])]
+            assert coder.encode(text.encode(), key).tolist() == want
+
+
+def test_merge_dropout_share_and_variety():
+    """Skips come as often as asked, and a word has as many segmentations as chance gives it."""
+    coder = merge_dropout.MergeDropout(tokenizer("piece_bpe_32k.model"), 0.1, 3)
+    word = b" international"
+    many = coder.encode_many([word[1:]] * 20_000, list(range(20_000)))
+    plain = merge_dropout.MergeDropout(tokenizer("piece_bpe_32k.model"), 0.0)
+    came = int(plain.merge([word.decode()], [()])[1][0])
+    unskipped = sum(n.tolist() == plain.encode(word[1:]).tolist() for n in many) / len(many)
+    assert unskipped >= 0.9**came - 0.02 and len({n.tobytes() for n in many}) > 40
+
+
+def test_merge_dropout_without_spaces():
+    """A megabyte without a space is one unit."""
+    coder = merge_dropout.MergeDropout(tokenizer("piece_bpe_32k.model"), 0.1, 3)
+    text = (b"abcdefghijklmnopqrstuvwxyz" * 40_000)[: 1 << 20]
+    began = time.time()
+    assert coder.decode(coder.encode(text, 1)) == text
+    assert time.time() - began < 60
+
+
 # 9
 def test_pii_formats(spark, odd_docs, no_docs):
     text = "4111 1111 1111 1111, 4111111111111111 4111111111111112 +1 (212) 555-0199 10.0.0.1 300.1.1.1 a.b@mail.example.com 2024-02-29 2023-02-29 12/31/2001 123-45-6789 GB82 WEST 1234 5698 7654 32 password=e9b9ed9cc9999999d9"
