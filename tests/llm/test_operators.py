@@ -81,6 +81,38 @@ def test_toxicity_learns_and_is_fair(spark):
     assert sum((x["score"] >= 0.7) == bool(dict(labels)[x["doc_id"]]) for x in rows(toxicity.score(d, fair))) >= 595
 
 
+def test_toxicity_learns_terms_that_no_list_knows(spark):
+    """An invented group's name leans on the label; the penalty takes its weight without losing the insults."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    docs, labels = [], []
+    for i in range(1200):
+        bad = i % 6 == 0
+        words = [word() for _ in range(20)]
+        if bad and i % 12:
+            words[3] = "vileness"
+        words[7] = "zorbian" if r.random() < (0.35 if bad else 0.1) else "plainfolk" if r.random() < 0.2 else words[7]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fair, plain = toxicity.fit(d, lab, fairness=20.0), toxicity.fit(d, lab, fairness=0.0, learn=0)
+    assert "zorbian" in dict(fair.learned) and fair.report["counterfactuals"] > 100 and plain.report["counterfactuals"] == 0
+    assert fair.report["gap_fair"] < 0.5 * fair.report["gap_plain"] and fair.report["false_positives_fair"] <= fair.report["false_positives_plain"]
+    assert fair.score(b"a zorbian walks") < plain.score(b"a zorbian walks") and fair.score(b"vileness of it") > 0.7
+
+
+def test_toxicity_sample_of_crowded_labels(spark):
+    """The bound holds, and rows are used, however the labels are spread over ids."""
+    one = spark.createDataFrame([(7, i % 2) for i in range(1500)], "_tx_id long, _tx_label int")
+    assert toxicity._sample(one, 1000).count() == 1000 and toxicity._sample(one, 2000).count() == 1500
+    many = spark.range(60_000).selectExpr("id as _tx_id", "cast(id % 2 as int) as _tx_label")
+    assert toxicity._sample(many, 20).count() == 20 and toxicity._sample(many, 777).count() == 777
+    docs = spark.range(3000).selectExpr("id % 3 as doc_id", "concat(if(id % 3 = 0, 'vile x', 'good y'), cast(id % 7 as string)) as text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_rows=1000)
+    assert model.report["rows"] == 1000 and model.score(b"vile") > 0.7 > model.score(b"good")
+
+
 def test_toxicity_odd(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(odd_docs, none)
