@@ -64,6 +64,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._check(path)
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.signs: dict[str, bytes] = {"": b""}
@@ -76,6 +77,16 @@ class WordEncoder:
         except Exception:
             self.direct = False
 
+    def _check(self, path: str) -> None:
+        """Raise unless the tokenizer cuts at white space and drops it, so that words may be encoded alone."""
+        cut, norm = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        pieces = lambda t: [p for p, _ in cut.pre_tokenize_str(norm.normalize_str(t) if norm else t)]
+        spaced = any(any(c.isspace() for c in t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        for space in " \t\n\r\v\f":
+            words = ("Ab", "c1", "é!", "don't")
+            if cut is None or spaced or pieces(f"{space}{space}".join(words) + space) != [p for w in words for p in pieces(w)]:
+                raise ValueError(f"tokens of {path} may span white space")
+
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -411,6 +422,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, closing: in
     bases = materialize(counts.withColumn("_pk_base", F.coalesce(F.sum("_pk_n").over(before), F.lit(0))), "pack-counts")
     totals = Counter({r["_pk_length"]: r["n"] for r in bases.groupBy("_pk_length").agg(F.sum("_pk_n").alias("n")).collect()})  # at most capacity rows
     plan = _plan(bin_completion(totals, capacity))
-    ranked = pieces.join(bases.select("_pk_length", "_pk_task", "_pk_base"), ["_pk_length", "_pk_task"]).withColumn("_pk_rank", F.col("_pk_nth") + F.col("_pk_base"))
+    # merged, not broadcast: the bases grow with the tasks
+    ranked = pieces.join(bases.select("_pk_length", "_pk_task", "_pk_base").hint("merge"), ["_pk_length", "_pk_task"]).withColumn("_pk_rank", F.col("_pk_nth") + F.col("_pk_base"))
     placed = ranked.select("_pk_id", "_pk_piece", "_pk_start", "_pk_length", "_pk_crc", "_pk_rank").mapInArrow(_place(plan), _PLACE)
     return placed.select(F.col("_pk_id").alias(id_col), F.col("_pk_piece").alias("piece"), F.col("_pk_start").alias("start"), F.col("_pk_length").alias("length"), F.col("_pk_crc").alias("ids_crc32"), F.col("_pk_sequence").alias("sequence_id"), F.col("_pk_offset").alias("offset"))
