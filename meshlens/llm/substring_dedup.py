@@ -9,19 +9,22 @@ their anchor and the place of the anchor in them.  Hence
    that each anchor owns, to hash buckets; a bucket tells which anchors occur
    more than once (about one word in six is an anchor);
 2. *extend*: where an anchor is repeated, the windows it owns are extended to
-   both sides to their full length and hashed (64 bits beside the anchor's
-   64), and buckets by anchor find for each window the earliest start;
-3. every window that isn't the earliest of its kind is covered: the union of
-   those windows is the union of the maximal repeats of at least
-   ``min_words`` words, without the first copy.
+   both sides to their full length, and buckets by anchor find for each window
+   the earliest start.  Windows are equal if a 128-bit BLAKE2 digest of their
+   words' bytes is; the anchors' fast hashes only choose candidates, so texts
+   made to collide under them cost time and never a wrong word;
+3. every window that isn't the earliest of its kind is covered: overlapping
+   windows join, so that a repeat of any length is cut in its maximal extent,
+   without the first copy.
 
 Nothing is emitted per pair.  A task sends each distinct anchor or window once
 (its own earliest start) and settles the others itself, so that a passage
 which a third of all documents hold reaches a bucket once a task.
 
-Rows: null text is an empty document; rows with a null ``doc_id`` take no part
-and lose nothing; rows that share a ``doc_id`` are copies at one place, none
-earlier than another; other columns of the input pass through untouched and
+Rows: null text is an empty document; rows with a null ``doc_id`` take no part,
+lose nothing and are not shuffled; rows that share a ``doc_id`` are copies at
+one place, none earlier than another (they meet in one task); very long texts
+go through whole, in one task each; other columns of the input pass through untouched and
 may have any name but the operator's own (prefixed ``_sd_``).
 """
 
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,9 @@ PIECE_BYTES = 2 << 20
 #: Anchors that a task gathers before it sends them on.
 FLUSH = 400_000
 
+#: Bytes of a window's digest.
+DIGEST = 16
+
 MESSAGE = "_sd_key int, _sd_kind int, _sd_body binary"
 _MESSAGE_SCHEMA = pa.schema([("_sd_key", pa.int32()), ("_sd_kind", pa.int32()), ("_sd_body", pa.binary())])
 
@@ -151,9 +158,20 @@ def _by_key(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(ranked[a]), order[a:b]
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
 def _doc_key(doc: np.ndarray, parts: int) -> np.ndarray:
-    """As the SQL expression ``pmod(doc_id, parts)``."""
-    return np.mod(doc, parts).astype(np.int64)
+    """As the SQL expression ``pmod(xxhash64(doc_id), parts)``: XXH64 of eight bytes, seed 42."""
+    x = np.full(len(doc), np.uint64(50) + _P5) ^ _rotated(doc.astype(np.int64).view(np.uint64) * _P2, 31) * _P1
+    x = _rotated(x, 27) * _P1 + _P4
+    x = (x ^ x >> np.uint64(33)) * _P2
+    x = (x ^ x >> np.uint64(29)) * _P3
+    return np.mod((x ^ x >> np.uint64(32)).view(np.int64), parts)
 
 
 def _seed(size: int, gram: int, buckets: int, parts: int):
@@ -227,14 +245,25 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out + np.repeat(shift, n)
 
 
+def _same(*keys: np.ndarray) -> np.ndarray:
+    """Which rows have the keys of the row before."""
+    out = np.ones(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        out &= k[1:] == k[:-1]
+    return np.concatenate((np.zeros(min(1, len(keys[0])), bool), out))
+
+
 def _extend(size: int, gram: int, buckets: int, parts: int):
     """Hash the windows that repeated anchors own; a group of documents with its seeds."""
 
     def windows(docs: list[int], texts: list[bytes], seeds: np.ndarray) -> list[np.ndarray]:
-        hashes, first = _words_of(texts)
+        buf = b" ".join([b" ".join(t.split()) for t in texts])  # one space between words: equal windows have equal bytes
+        raw = np.frombuffer(buf, np.uint8)
+        begin, end = word_spans(raw)
+        edges = np.cumsum([0] + [len(t.split()) for t in texts])
+        hashes, first = word_hashes(raw, begin, end, 0), edges
         ids = np.array(docs, np.int64)
-        n = len(hashes) - size + 1
-        if n <= 0:
+        if len(hashes) < size:
             return []
         order = np.argsort(ids, kind="stable")
         lo, hi = np.searchsorted(ids[order], seeds["doc"]), np.searchsorted(ids[order], seeds["doc"], "right")
@@ -247,14 +276,15 @@ def _extend(size: int, gram: int, buckets: int, parts: int):
             row = np.repeat(row, part["n"])
             inside = start + size <= first[row + 1] - first[row]
             row, start = row[inside], start[inside]
-            at = first[row] + start
-            out.append((ids[row], start, at))
+            out.append((ids[row], start, first[row] + start))
         if not out:
             return []
         doc, start, at = (np.concatenate(x) for x in zip(*out))
         grams = gram_hashes(hashes, gram, 0)
         anchor = grams[sliding_argmin(grams, size - gram + 1)[at]]
-        return [anchor, gram_hashes(hashes, size, 0)[at], doc, start.astype("<u4")]
+        made = b"".join([blake2b(buf[a:b], digest_size=DIGEST).digest() for a, b in zip(begin[at].tolist(), end[at + size - 1].tolist())])
+        window = np.frombuffer(made, "<u8").reshape(-1, 2)
+        return [anchor, window[:, 0], window[:, 1], doc, start.astype("<u4")]
 
     def run(docs: pa.Table, seeds: pa.Table) -> pa.Table:
         bodies = seeds["_sd_body"].to_pylist()
@@ -264,17 +294,19 @@ def _extend(size: int, gram: int, buckets: int, parts: int):
         found = []
         for batch in docs.to_batches():
             for ids, texts in _text_pieces(batch, "_sd_id", "_sd_text"):
+                seeded = np.isin(np.array(ids, np.int64), spans["doc"]).tolist()
+                ids, texts = [i for i, x in zip(ids, seeded) if x], [t for t, x in zip(texts, seeded) if x]
                 own = np.unique(np.array(ids, np.int64))
                 lo, hi = np.searchsorted(spans["doc"], own), np.searchsorted(spans["doc"], own, "right")
                 if part := windows(ids, texts, spans[_ranges(lo, hi - lo)]):
                     found.append(part)
         if not found:
             return pa.Table.from_batches([_batch([])])
-        anchor, window, doc, start = (np.concatenate(x) for x in zip(*found))
+        anchor, high, low, doc, start = (np.concatenate(x) for x in zip(*found))
         del found
-        order = np.lexsort((start, doc, window, anchor))
-        anchor, window, doc, start = anchor[order], window[order], doc[order], start[order]
-        again = np.concatenate(([False], (anchor[1:] == anchor[:-1]) & (window[1:] == window[:-1])))
+        order = np.lexsort((start, doc, low, high, anchor))
+        anchor, high, low, doc, start = (x[order] for x in (anchor, high, low, doc, start))
+        again = _same(anchor, high, low)
         # Another start of the same window in this group comes earlier: settled, wherever else it occurs.
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
         later = again & ((doc != doc[head]) | (start != start[head]))
@@ -282,17 +314,18 @@ def _extend(size: int, gram: int, buckets: int, parts: int):
         told = _spans(doc[later], start[later])
         for key, at in _by_key(_doc_key(told["doc"], parts)):
             rows.append((key % buckets, _TOLD, np.array([key], "<i4").tobytes() + _pack_spans(told[at])))
-        anchor, window, doc, start = anchor[~again], window[~again], doc[~again], start[~again]
+        anchor, high, low, doc, start = (x[~again] for x in (anchor, high, low, doc, start))
         # In the order of the text, windows of one anchor are neighbours: runs.
         order = np.lexsort((start, doc))
-        anchor, window, doc, start = anchor[order], window[order], doc[order], start[order]
+        anchor, high, low, doc, start = (x[order] for x in (anchor, high, low, doc, start))
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)))
         at = np.flatnonzero(new)
         n = np.diff(np.concatenate((at, [len(new)])))
         for key, own in _by_key((mix64(anchor[at]) % np.uint64(buckets)).astype(np.int64)):
             heads, counts = at[own], n[own]
+            inside = _ranges(heads, counts)
             body = _pack([anchor[heads], doc[heads], start[heads], counts.astype("<u2")])
-            rows.append((key, _ASK, body + window[_ranges(heads, counts)].tobytes()))
+            rows.append((key, _ASK, body + high[inside].tobytes() + low[inside].tobytes()))
         return pa.Table.from_batches([_batch(rows)])
 
     return lambda docs, seeds: run(docs, seeds)
@@ -309,14 +342,13 @@ def _earliest(parts: int):
                 rows.append((int(np.frombuffer(body, "<i4", 1)[0]), _TOLD, body[4:]))
                 continue
             anchor, doc, start, n = _unpack(body, ("<u8", "<i8", "<u4", "<u2"))
-            window = np.frombuffer(body, "<u8", -1, 8 + len(anchor) * 22)
-            found.append((np.repeat(anchor, n), window, np.repeat(doc, n), _ranges(start, n).astype("<u4")))
+            high, low = np.frombuffer(body, "<u8", -1, 8 + len(anchor) * 22).reshape(2, -1)
+            found.append((np.repeat(anchor, n), high, low, np.repeat(doc, n), _ranges(start, n).astype("<u4")))
         if found:
-            anchor, window, doc, start = (np.concatenate(x) for x in zip(*found))
+            anchor, high, low, doc, start = (np.concatenate(x) for x in zip(*found))
             del found
-            order = np.lexsort((start, doc, window, anchor))
-            same = (anchor[order][1:] == anchor[order][:-1]) & (window[order][1:] == window[order][:-1])
-            again = order[np.concatenate(([False], same))]
+            order = np.lexsort((start, doc, low, high, anchor))
+            again = order[_same(anchor[order], high[order], low[order])]
             told = _spans(doc[again], start[again])
             for key, at in _by_key(_doc_key(told["doc"], parts)):
                 rows.append((key, _TOLD, _pack_spans(told[at])))
@@ -365,6 +397,17 @@ def _cut(size: int, digest: bool):
     return run
 
 
+def _whole(digest: bool):
+    """Rows that lose nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, none = _cut(1, digest), pa.table({"_sd_body": pa.array([], pa.binary())})
+        for batch in batches:
+            yield from cut(pa.Table.from_batches([batch]), none).to_batches()
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, min_words: int = 20, gram: int = 10, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Cut from each document the words that repeat an earlier passage.
 
@@ -380,14 +423,16 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, gram: int = 10, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("_sd_id"), F.col(text_col).cast("string").alias("_sd_text"))
     total = text_bytes(rows, "_sd_text")
     buckets, parts = parts_for(total, 16 << 20), parts_for(total, 12 << 20)
-    keyed = rows.withColumn("_sd_key", F.expr(f"cast(coalesce(pmod(_sd_id, {parts}), 0) as int)"))
+    nameless = rows.filter("_sd_id is null").mapInArrow(_whole(digest), _RESULT)
+    rows = rows.filter("_sd_id is not null")
+    keyed = rows.withColumn("_sd_key", F.expr(f"cast(pmod(xxhash64(_sd_id), {parts}) as int)"))
 
     seeds = rows.mapInArrow(_seed(min_words, gram, buckets, parts), MESSAGE)
     repeated = seeds.groupBy("_sd_key").applyInArrow(_repeated(parts), MESSAGE)
     windows = keyed.groupBy("_sd_key").cogroup(repeated.groupBy("_sd_key")).applyInArrow(_extend(min_words, gram, buckets, parts), MESSAGE)
     told = windows.groupBy("_sd_key").applyInArrow(_earliest(parts), MESSAGE)
     cut = keyed.groupBy("_sd_key").cogroup(told.groupBy("_sd_key")).applyInArrow(_cut(min_words, digest), _RESULT)
-    return cut.select(
+    return cut.unionByName(nameless).select(
         F.col("_sd_id").alias(id_col),
         F.col("_sd_words").alias("n_words"),
         F.col("_sd_removed").alias("n_removed"),

@@ -41,6 +41,24 @@ def test_substring_dedup_by_hand(spark, size, gram):
     assert got == _cut_by_hand(docs, size)
 
 
+def test_substring_dedup_of_colliding_words(spark):
+    """Two Thue-Morse words have one polynomial hash modulo 2**64; as words they differ."""
+    morse = "a"
+    while len(morse) < 1024:
+        morse += morse.translate({97: 98, 98: 97})
+    rest = " ".join(f"w{i}" for i in range(19))
+    other = morse.translate({97: 98, 98: 97})
+    docs = [(1, f"{morse} {rest}"), (2, f"{other} {rest}"), (3, f"{morse}\t{rest}")]
+    got = {x["doc_id"]: x["n_removed"] for x in rows(substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_substring_dedup_key_is_sparks(spark):
+    ids = [0, 1, -1, 42, 10**15, -(2**63), 2**63 - 1]
+    got = [r["k"] for r in spark.createDataFrame([(i,) for i in ids], "d long").selectExpr("pmod(xxhash64(d), 97) k").collect()]
+    assert got == substring_dedup._doc_key(np.array(ids, np.int64), 97).tolist()
+
+
 def test_substring_dedup_odd(odd_docs, no_docs):
     got = rows(substring_dedup.remove_repeats(odd_docs))
     assert len(got) == 10 and {x["doc_id"]: x["n_removed"] for x in got if x["doc_id"] in (2, 5, 6)} == {2: 0, 5: 0, 6: 30000}
