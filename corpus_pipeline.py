@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import exact_dedup, near_dedup, packing, pii, toxicity
+from meshlens.llm import exact_dedup, packing, pii, simhash_near, toxicity
 from meshlens.llm.common import materialize, table
 from meshlens.llm.queries import PII_KEY, TOXIC_FROM, tokenizer, toxicity_model
 
@@ -26,7 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 of five-word shingles the document with the smallest id."""
-    return near_dedup.dedup_similar(docs)
+    return simhash_near.dedup_similar(docs)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
-    ("near_dedup", drop_near_copies),
+    ("simhash_near_dedup", drop_near_copies),
     ("pii", replace_private),
     ("best_fit_packing", pack),
 ]

@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 import corpus_pipeline
-from meshlens.llm import near_dedup
+from meshlens.llm import simhash_near
 
 
 def _shingles(text):
@@ -52,11 +54,12 @@ def test_stage_equals_jaccard_groups(spark):
     assert _check(spark, list(enumerate(texts))) > 20
 
 
-def test_stage_on_a_large_group(spark, monkeypatch):
-    """Buckets over the limit come again: chains and outliers are found by centres or in the end."""
-    monkeypatch.setattr(near_dedup, "EACH", 1)
-    monkeypatch.setattr(near_dedup, "CENTRES", 2)
-    monkeypatch.setattr(near_dedup, "ROUNDS", 2)
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_stage_on_a_large_group(spark, monkeypatch, rounds):
+    """Buckets over the limit come again, then with fine keys: chains and outliers are found by centres or in the end."""
+    monkeypatch.setattr(simhash_near, "EACH", 1)
+    monkeypatch.setattr(simhash_near, "CENTRES", 2)
+    monkeypatch.setattr(simhash_near, "COARSE_ROUNDS", rounds)
     rng = random.Random(6)
     words = [f"w{i}" for i in range(150)]
     texts = [" ".join(words)] + [_edited(rng, words, rng.randrange(1, 6)) for _ in range(90)]
@@ -70,7 +73,7 @@ def test_stage_on_the_given_documents(spark, sf_dir):
 
 
 def test_near_dedup_odd(odd_docs, no_docs):
-    kept = near_dedup.dedup_similar(odd_docs)
+    kept = simhash_near.dedup_similar(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 5), (False, 9)]
-    assert near_dedup.dedup_similar(no_docs).count() == 0
+    assert simhash_near.dedup_similar(no_docs).count() == 0
