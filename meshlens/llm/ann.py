@@ -7,6 +7,12 @@ bucket.  A query probes, in each table, the pairs of axes with the largest sum
 of coordinates (multiprobe), takes what lies there as candidates and scores
 them exactly, in double precision, on the original vectors.
 
+How many pairs of axes a table probes follows from the rows: for a bounded
+sample of queries (``SAMPLE``, the smallest by hash of the id) all rows are
+searched, and the probes are as many as find ``recall`` of those neighbours.
+The more rows there are, the nearer are the nearest, and the smaller is the
+share of the rows that is scored.
+
 Dealt groups (table, first axis) are split by a hash of the id once they hold
 more than ``GROUP_ROWS`` rows, and queries go to each part, so that many equal
 vectors don't meet in one task.  Queries that found fewer neighbours than
@@ -14,7 +20,8 @@ there are to find search all rows in the same blocks; so k are always
 returned where k exist.
 
 Left out, as query and candidate: null or zero vectors, null or non-finite
-components, lengths other than the commonest-longest one (``dim``), null ids.
+components, lengths other than the commonest among the others (of equally
+common ones the longest), null ids.
 Rows that share an id are candidates of each other's queries only by other
 ids; equal scores go to the smaller id.  Empty tables give empty results.
 """
@@ -31,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 GROUP_ROWS = 4096
+#: Queries that the number of probes is fitted on.
+SAMPLE = 128
 
 
 def rotations(dim: int, count: int, seed: int) -> np.ndarray:
@@ -173,15 +182,71 @@ def _rank(dim: int, k: int, kind: str):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 16, probes: int = 512, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found by cosine of each query."""
+def _exact(own: np.ndarray, asked: np.ndarray, dim: int, k: int):
+    """The k nearest of each asked vector among a task's rows, with their vectors."""
+    schema = pa.schema([("_nn_query", pa.int64()), ("_nn_id", pa.int64()), ("_nn_score", pa.float64()), ("_nn_body", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, ids, body = np.full((len(own), k), -np.inf), np.zeros((len(own), k), np.int64), np.zeros((len(own), k, dim))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                here, x = _vectors(batch.slice(at, 4096), dim)
+                if not len(here):
+                    continue
+                near = np.where(own[:, None] == here[None, :], -np.inf, asked @ _unit(x).T)
+                all_score, all_ids = np.concatenate((score, near), axis=1), np.concatenate((ids, np.broadcast_to(here, near.shape)), axis=1)
+                best = np.lexsort((all_ids, -all_score), axis=1)[:, :k]
+                score, ids = (np.take_along_axis(z, best, axis=1) for z in (all_score, all_ids))
+                body = np.where((best < k)[:, :, None], np.take_along_axis(body, np.minimum(best, k - 1)[:, :, None], axis=1), x[np.maximum(best - k, 0)])
+        i, j = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[i, j]), pa.array(score[i, j]), pa.array([v.tobytes() for v in body[i, j]], pa.binary())], schema=schema)
+
+    return run
+
+
+def fit_probes(rows: DataFrame, asked: DataFrame, dim: int, k: int, tables: int, seed: int, recall: float) -> int:
+    """Pairs of axes to probe in each table, from the nearest neighbours of a sample of queries among all rows."""
+    picked = asked.filter(F.size("_nn_vector") == dim).orderBy(F.xxhash64("_nn_id"), "_nn_id").limit(SAMPLE).toArrow()
+    parts = [_vectors(b, dim) for b in picked.to_batches()]
+    own, x = (np.concatenate(z) for z in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros((0, dim)))
+    signs = rotations(dim, 2 * tables, seed)
+    width = 2 * signs.shape[-1]
+    if not len(own):
+        return 1
+    unit = _unit(x)
+    found = rows.mapInArrow(_exact(own, unit, dim, k), "_nn_query long, _nn_id long, _nn_score double, _nn_body binary")
+    best = Window.partitionBy("_nn_query").orderBy(F.col("_nn_score").desc(), "_nn_id")
+    near = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("_nn_query", "_nn_body").collect()  # SAMPLE x k rows at most
+    if not near:
+        return 1
+    place = {d: i for i, d in enumerate(own.tolist())}
+    at = np.array([place[r["_nn_query"]] for r in near])
+    v = _unit(np.frombuffer(b"".join(bytes(r["_nn_body"]) for r in near)).reshape(-1, dim))
+    rank = np.full(len(near), width * width)
+    for t in range(tables):
+        a, b = (_axes(unit, signs[2 * t + i]) for i in (0, 1))
+        p, q = (_axes(v, signs[2 * t + i]).argmax(axis=1) for i in (0, 1))
+        for n, (i, own_sum) in enumerate(zip(at, a[at, p] + b[at, q])):
+            rank[n] = min(rank[n], int((np.add.outer(a[i], b[i]) > own_sum).sum()))
+    return min(width * width, int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(recall * len(rank))))]) + 1)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 16, probes: int | None = None, recall: float = 0.96, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found by cosine of each query.
+
+    ``probes``: pairs of axes that each table probes; fitted to ``recall`` if not given.
+    """
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("_nn_id"), F.col(vector_col).alias("_nn_vector"))
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     rows, asked = pick(vectors), pick(queries)
-    dim = int(rows.agg(F.max(F.size("_nn_vector")).alias("n")).first()["n"] or 0)
+    odd = "exists(_nn_vector, x -> x is null or isnan(x) or abs(cast(x as double)) = double('infinity'))"
+    good = rows.filter(f"_nn_id is not null and not {odd} and exists(_nn_vector, x -> x <> 0)")
+    lengths = good.groupBy(F.size("_nn_vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
+    dim = int(lengths[0]["n"]) if lengths else 0
     spark = vectors.sparkSession
     if dim <= 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    probes = probes or fit_probes(rows, asked, dim, k, tables, seed, recall)
 
     index = rows.mapInArrow(_index(dim, tables, seed, kind), _INDEX)
     # at most tables x axes rows: bounded by parameters

@@ -368,6 +368,34 @@ def test_nearest_recall_and_ties(spark):
     assert ann.nearest(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_nearest_with_lengths(spark):
+    """Longer and shorter vectors drop out alone; the commonest length is searched."""
+    r = np.random.default_rng(8)
+    data = [(i, r.normal(size=8).tolist()) for i in range(200)] + [(500, [1.0] * 9), (501, [1.0] * 3), (7, r.normal(size=8).tolist()), *[(600 + i, [None] * 9) for i in range(300)]]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = rows(ann.nearest(df, df.filter("vec_id % 50 = 0"), 5))
+    assert Counter(x["query_id"] for x in got) == {0: 5, 50: 5, 100: 5, 150: 5} and all(x["vec_id"] < 200 for x in got)
+
+
+def test_nearest_probes_follow_the_rows(spark):
+    """Recall stays, and the share that is probed falls as rows grow."""
+    r = np.random.default_rng(9)
+    found = []
+    for n in (400, 2000, 8000):
+        x = r.normal(size=(n, 16))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        asked = df.filter(f"vec_id % {n // 40} = 0")
+        pick = lambda d: d.select(d["vec_id"].alias("_nn_id"), d["embedding"].alias("_nn_vector"))
+        found.append(ann.fit_probes(pick(df), pick(asked), 16, 5, 16, 7, 0.96))
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        got = defaultdict(set)
+        for row in rows(ann.nearest(df, asked, 5)):
+            got[row["query_id"]].add(row["vec_id"])
+        hits = sum(len(got[q] & {i for i in np.argsort(-(u @ u[q]))[:6].tolist() if i != q}) for q in range(0, n, n // 40))
+        assert hits >= 0.9 * 5 * 40
+    assert found[0] > found[1] > found[2]
+
+
 # 8
 def test_merge_dropout_round_trip(spark, sf_dir, odd_docs, no_docs):
     import sentencepiece
