@@ -2,6 +2,12 @@
 
 ``run`` applies the stages to ``documents``; each stage takes what the one
 before kept.  The last returns the pieces of packed sequences.
+
+Null texts count as empty, and stay while their stages keep them: of all empty
+texts one document is left.  Rows with a null id are judged like any other; as
+copies they give way to rows with an id.  Repeated rows are copies.  Very long
+texts go through whole.  Columns beside those of ``documents`` stay until the
+last stage, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlens.llm import exact_dedup, packing, pii, simhash_near, toxicity
-from meshlens.llm.common import materialize, table
+from meshlens.llm.common import materialize, release, table
 from meshlens.llm.queries import PII_KEY, TOXIC_FROM, tokenizer, toxicity_model
 
 
@@ -56,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

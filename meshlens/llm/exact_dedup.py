@@ -15,6 +15,10 @@ are spilled as result rows, so only that path stays.
 Null texts count as empty.  Rows with a null id belong to their group (they
 count in ``group_size``) but are never its owner unless no row has an id.  Of
 rows that share an id all are kept or none.  Other columns take no part.
+
+Tries tell texts apart by their bytes; rows then find their text's owner by
+length-and-content hash of 256 bits (SHA-256), taken for identity in that join
+alone.  Very long texts go through whole.
 """
 
 from __future__ import annotations

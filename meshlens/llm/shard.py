@@ -167,6 +167,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         at = _prefix(blocks)
         under, over = _capacity(blocks, at, shards, True), _capacity(blocks, at, shards, False)
         doubt = _doubtful(blocks, at, shards, under, over) if under < over else set()
+        if under < over and not doubt:  # what isn't settled yet is cut finer; blocks of one group each are exact
+            doubt = {i for i, b in enumerate(blocks) if b.groups > 1}
         if not doubt:
             break
         each = max(2, BLOCKS // len(doubt))

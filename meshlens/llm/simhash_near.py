@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .components import components
 from .simhash import _keys as golay_keys
 from .simhash import _links as golay_links
@@ -230,7 +230,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, least: Fraction = Frac
     nodes = materialize(sketch.groupBy("_near_node").agg(F.min("_near_id").alias("_near_first"), F.min("_near_print").alias("_near_print"), F.min("_near_keys").alias("_near_keys")), "near-nodes")
     members = nodes.select("_near_node", "_near_keys").mapInArrow(_coarse, "key long, node long").withColumn("label", F.col("node"))
     sets = labels = None
-    turn, centres, fine = 0, CENTRES, False
+    turn, centres, fine, spent = 0, CENTRES, False, None
     while True:
         found = materialize(members.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(turn, centres), "key long, u long, v long"), "near-pairs")
         pairs = found.filter("key is null").select("u", "v")
@@ -247,8 +247,10 @@ def similar_components(docs: DataFrame, shingle: int = 5, least: Fraction = Frac
         joins = materialize(verified.join(ends[0], "u").join(ends[1], "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v")).distinct(), "near-links")
         if not joins.isEmpty():
             roots = components(joins)
-            labels = materialize(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "near-labels")
-        again = found.filter("key is not null").select("key", F.col("u").alias("node"))
+            before, labels = labels, materialize(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "near-labels")
+            release(before)
+        release(joins, spent)
+        again, spent = found.filter("key is not null").select("key", F.col("u").alias("node")), found
         if again.isEmpty():
             break
         turn += 1

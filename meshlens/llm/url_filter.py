@@ -8,17 +8,21 @@ distrust.  A host whose distrust exceeds ``ratio`` times its trust is blocked.
 
 Edges between hosts are the links in the pages' HTML, counted per pair of
 hosts before any shuffle of single links, plus a link between each host and
-the domain above it, by which subdomains of one site share their standing.
-Everything is DataFrame expressions; each round joins the scores with an edge
-table of one row per pair of hosts, and scores are checkpointed.
+the domain above it, by which subdomains of one site share their standing
+(not across registries such as co.uk).  Everything is DataFrame expressions;
+each round joins the scores with an edge table of one row per pair of hosts,
+and scores are checkpointed.  Rounds go on until what can still move is at
+most ``tolerance`` of the seeds' weight.
 
 Urls that are null or lack ``://`` have an empty host and path: no rule fits,
 the host has no links and is allowed.  Null html has no links.  Repeated rows
-count again as seeds.  Empty tables give empty results; other columns pass by.
+count again as seeds.  Very long html is read whole.  Empty tables give empty results; other columns pass by.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 #: Weight of the link between a host and the domain above it, in links.
 PARENT_LINKS = 1.0
+#: Labels that registries put before a country's domain, so that the domain above is nobody's site.
+REGISTRY = r"^(ac|co|com|edu|gob|go|gov|gouv|ltd|me|mil|ne|net|nom|or|org|plc|sch)\.[a-z]{2}$"
 #: A host with more than one in this many pages is joined apart.
 HOT_SHARE = 1000
 
@@ -54,18 +60,25 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     linked = pages.select(src.alias("src"), F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1)).alias("to"))
     links = linked.select("src", F.explode("to").alias("dst")).select("src", F.translate("dst", UPPER, LOWER).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("links"))
     hosts = pages.select(src.alias("host")).filter("host <> ''").distinct()
-    above = hosts.select("host", F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1).alias("parent")).filter("parent <> ''")
+    above = hosts.select("host", F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1).alias("parent")).filter((F.col("parent") != "") & ~F.col("parent").rlike(REGISTRY))
     up = above.select(F.col("host").alias("src"), F.col("parent").alias("dst"), F.lit(PARENT_LINKS).alias("links"))
     down = above.select(F.col("parent").alias("src"), F.col("host").alias("dst"), F.lit(PARENT_LINKS).alias("links"))
     return links.union(up).union(down).groupBy("src", "dst").agg(F.sum("links").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def rounds_for(tolerance: float, damping: float) -> int:
+    """Rounds after which the scores' total change stays under ``tolerance``: it is at most 2 * damping**rounds."""
+    return max(1, math.ceil(math.log(tolerance / 2) / math.log(damping)))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 0.01, damping: float = 0.85) -> DataFrame:
     """host, trust, distrust: personalised PageRank both ways.
 
     ``seeds``: host, trusted, blocked (weights).  A host without onward links
-    passes nothing on, so scores sum to one at most.
+    passes nothing on, so scores sum to one at most; handing its weight back to
+    the seeds would scale all scores of a kind alike.
     """
+    rounds = rounds_for(tolerance, damping)
     shared_dir(edges.sparkSession)
     ahead = edges.join(edges.groupBy("src").agg(F.sum("links").alias("n")), "src").select(F.lit(0).alias("kind"), F.col("src").alias("at"), F.col("dst").alias("to"), (F.col("links") / F.col("n")).alias("w"))
     back = edges.join(edges.groupBy("dst").agg(F.sum("links").alias("n")), "dst").select(F.lit(1).alias("kind"), F.col("dst").alias("at"), F.col("src").alias("to"), (F.col("links") / F.col("n")).alias("w"))
@@ -84,13 +97,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: flo
     return now.groupBy(F.col("at").alias("host")).agg(F.sum(F.when(F.col("kind") == 0, F.col("r")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == 1, F.col("r")).otherwise(0.0)).alias("distrust"))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], rounds: int = 10, damping: float = 0.85, ratio: float = 1.0, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], tolerance: float = 0.01, damping: float = 0.85, ratio: float = 1.0, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """id, host, path, rule, verdict, trust, distrust for every page."""
     host, path = host_and_path(F.col(url))
     rule, says = _rule(rules, F.col("host"), F.col("path"))
     judged = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "_uf_says": says})
     seeds = judged.filter("host <> '' and rule is not null").groupBy("host").agg(F.count(F.when(F.col("_uf_says") == "allow", 1)).cast("double").alias("trusted"), F.count(F.when(F.col("_uf_says") == "block", 1)).cast("double").alias("blocked"))
-    scores = propagate(host_edges(pages, url, html), materialize(seeds, "url-seeds"), rounds, damping)
+    scores = propagate(host_edges(pages, url, html), materialize(seeds, "url-seeds"), tolerance, damping)
     # Hosts with over a thousandth of all pages: fewer than a thousand, so their scores are broadcast and
     # their pages, dealt out by id, take no part in the join with the other hosts' scores.
     counts = materialize(judged.groupBy("host").agg(F.count("*").alias("n")), "url-hosts")
@@ -108,9 +121,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], rounds: int = 10
     )
 
 
-def oracle(rules: list[tuple[str, str]], rounds: int = 10, damping: float = 0.85, ratio: float = 1.0) -> str:
+def oracle(rules: list[tuple[str, str]], tolerance: float = 0.01, damping: float = 0.85, ratio: float = 1.0) -> str:
     """The same verdicts in DuckDB SQL over ``pages`` (scores left out)."""
-    ranked = sorted(rules, key=lambda r: (-len(r[0]), r[0]))
+    ranked, rounds = sorted(rules, key=lambda r: (-len(r[0]), r[0])), rounds_for(tolerance, damping)
     fits = {t: f"((host = '{t.partition('/')[0]}' or suffix(host, '.{t.partition('/')[0]}')) and prefix(path, '/{t.partition('/')[2]}'))" for t, _ in ranked}
     case = lambda value: "case " + " ".join(f"when {fits[r[0]]} then '{value(r)}'" for r in ranked) + " end"
     link = LINK.removeprefix("(?i)").replace("'", "''")
@@ -126,7 +139,7 @@ def oracle(rules: list[tuple[str, str]], rounds: int = 10, damping: float = 0.85
     judged as (select page_id, html, host, path, {case(lambda r: r[0])} rule, {case(lambda r: r[1])} says from parts),
     seeds as (select host, count(*) filter (says = 'allow') t, count(*) filter (says = 'block') b from judged where host <> '' and rule is not null group by host),
     links as (select src, translate(d, '{UPPER}', '{LOWER}') dst from (select host src, unnest(regexp_extract_all(html, '{link}', 1, 'i')) d from parts)),
-    above as (select distinct host, regexp_extract(host, '^[^.]+\\.(.+\\..+)$', 1) parent from parts where host <> ''),
+    above as (select * from (select distinct host, regexp_extract(host, '^[^.]+\\.(.+\\..+)$', 1) parent from parts where host <> '') where not regexp_matches(parent, '{REGISTRY}')),
     edges as (select src, dst, sum(n) links from (
         select src, dst, 1.0::double n from links where src <> '' and dst <> '' and src <> dst
         union all select host, parent, {PARENT_LINKS}::double from above where parent <> ''
