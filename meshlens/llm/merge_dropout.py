@@ -9,8 +9,9 @@ every occurrence of a word draws for itself, each reproducible from the seed,
 and all segmentations decode to the same text.  Without dropout the result is
 the library's own.
 
-Texts are cut into units that no piece can span: before runs of spaces, and
-around line feeds (both are checked against the vocabulary).  A unit's result
+Texts are cut into units between any two characters that no piece of the
+vocabulary has side by side (letters and commas, say, or the space that begins
+a word and what stands before it), as no merge can span these.  A unit's result
 depends on which of its candidates are skipped alone, so units are nodes of a
 tree: the unit without skips, and below each node one child for each candidate
 that may be skipped next.  An occurrence goes down by its own draws until no
@@ -28,10 +29,8 @@ space are one unit, of n log n steps.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +39,14 @@ from pyspark.sql import functions as F
 
 from .wordhash import mix64
 
-_UNIT = re.compile(rb"\n| *[^ \n]+| +")
-_NEVER = np.int64(1 << 40)
+_NEVER = np.int32(1 << 23)
 #: Nodes that a worker keeps before it starts anew.
 MEMO_NODES = 700_000
-#: Bytes of units above which a heap takes the place of the batch.
+#: Characters of a unit above which a heap takes the place of the batch.
 LONG = 128
-_NO_SKIP = np.iinfo(np.int64).max
+#: Units that are merged at once: their arrays stay in the cache.
+CHUNK = 8192
+_NO_SKIP = np.iinfo(np.int32).max
 
 
 def gap_table(dropout: float) -> np.ndarray:
@@ -75,8 +75,16 @@ class MergeDropout:
         names = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.ids = {names[i]: i for i in plain}
-        if any("\n" in p or "▁" in p.lstrip("▁") for p in self.ids):
-            raise ValueError("pieces may span units in this vocabulary")
+        side = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
+        joining = {c: 1 + i for i, c in enumerate(sorted({c for pair in side for c in pair}))}
+        #: classes of the characters that have a neighbour in some piece, and which classes stand side by side
+        self.char_class = np.zeros(0x110000, np.int16)
+        self.together = np.zeros((1 + len(joining), 1 + len(joining)), bool)
+        for c, i in joining.items():
+            self.char_class[ord(c)] = i
+        self.char_class[ord(" ")], self.char_class[ord("▁")] = self.char_class[ord("▁")], 0
+        for a, b in side:
+            self.together[joining[a], joining[b]] = True
         self.byte = [self._byte_id(names, b) for b in range(256)]
         self.size = n
         self.dropout, self.seed, self.gaps = dropout, seed, gap_table(dropout)
@@ -85,7 +93,7 @@ class MergeDropout:
         for b, i in enumerate(self.byte):
             self.decoded[i] = bytes([b])
         #: piece of each code point, or -1; spaces are written as U+2581, which itself has none
-        self.symbol = np.full(0x110000, -1, np.int64)
+        self.symbol = np.full(0x110000, -1, np.int32)
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.symbol[ord(piece)] = i
@@ -106,9 +114,22 @@ class MergeDropout:
     def _byte_id(names: list[str], b: int) -> int:
         return names.index(f"<0x{b:02X}>")
 
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of texts, one after another, and how many each text has; a space goes before each text."""
+        joined = "".join([" " + t for t in texts if t])
+        points = self.char_class[np.frombuffer(joined.encode("utf-32-le"), "<i4")]
+        edges = np.cumsum([0] + [len(t) + 1 if t else 0 for t in texts])
+        first = np.ones(len(points) + 1, bool)
+        if len(points):
+            first[1:-1] = ~self.together[points[:-1], points[1:]]
+        first[edges] = True
+        starts = np.flatnonzero(first)
+        at = starts.tolist()
+        return [joined[a:b] for a, b in zip(at, at[1:])], np.diff(np.searchsorted(starts, edges))
+
     def _candidates(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged id of symbol pairs; impossible ones never come up."""
-        key = np.where((left < self.size) & (right < self.size), left * self.size + right, -1)
+        key = np.where((left < self.size) & (right < self.size), left * np.int64(self.size) + right, -1)
         at = self._slots(key)
         found = self.slot_key[at] == key
         for step in range(1, self.probes):
@@ -128,7 +149,7 @@ class MergeDropout:
         keys = np.array(list(pairs), np.int64)
         self.slot_bits = len(pairs).bit_length() + 3
         size = (1 << self.slot_bits) + 64
-        self.slot_key, self.slot_rank, self.slot_id = np.full(size, -2), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.slot_key, self.slot_rank, self.slot_id = np.full(size, -2), np.zeros(size, np.int32), np.zeros(size, np.int32)
         self.probes = 1
         for k, at in zip(keys.tolist(), self._slots(keys).tolist()):
             probe = 0
@@ -136,13 +157,13 @@ class MergeDropout:
                 probe += 1
             self.probes = max(self.probes, probe + 1)
             self.slot_key[at + probe], self.slot_id[at + probe] = k, pairs[k]
-        self.slot_rank = rank[self.slot_id].astype(np.int64)
+        self.slot_rank = rank[self.slot_id].astype(np.int32)
 
     def _symbols(self, units: list[str]) -> np.ndarray:
         """Piece of each character; one without a piece is a symbol of its own that never merges."""
-        points = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.int64)
+        points = np.frombuffer("".join(units).encode("utf-32-le"), "<i4")
         known = self.symbol[points]
-        return np.where(known >= 0, known, self.size + points)
+        return np.where(known >= 0, known, np.int32(self.size) + points)
 
     def _bytes(self, sym: np.ndarray, own: np.ndarray, units: int) -> list[bytes]:
         """Ids of each unit from the symbols that are left, characters without a piece as bytes."""
@@ -156,23 +177,25 @@ class MergeDropout:
 
     def merge(self, units: list[str], skips: list[tuple[int, ...]]) -> tuple[list[bytes], list[int]]:
         """Piece ids of units and how many candidates came up; ``skips``: which of those, ascending, each unit skips."""
-        sizes = np.array(list(map(len, units)), np.int64)
+        sizes = np.fromiter(map(len, units), np.int32, len(units))
         sym = self._symbols(units)
-        own = np.repeat(np.arange(len(units)), sizes)
-        begin = np.arange(len(sym)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = np.repeat(np.arange(len(units), dtype=np.int32), sizes)
+        begin = np.arange(len(sym), dtype=np.int32) - np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, sizes)
         width = 1 + max(map(len, skips), default=0)
-        due = np.array([[*s, *[_NO_SKIP] * (width - len(s))] for s in skips], np.int64).reshape(len(units), width)
+        due = np.full((len(units), width), _NO_SKIP, np.int32)
+        for k in range(width - 1):
+            due[:, k] = [s[k] if len(s) > k else _NO_SKIP for s in skips]
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        came, passed = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
-        rank, into = np.full(len(sym), _NEVER), np.zeros(len(sym), np.int64)
+        came, passed = np.zeros(len(units), np.int32), np.zeros(len(units), np.int32)
+        rank, into = np.full(len(sym), _NEVER, np.int32), np.zeros(len(sym), np.int32)
         if len(sym) > 1:
             at = np.flatnonzero(own[:-1] == own[1:])
             rank[at], into[at] = self._candidates(sym[at], sym[at + 1])
         while len(sym):
             heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            order = rank * (1 << 20) + begin
+            order = rank * np.int32(LONG) + begin
             best = np.minimum.reduceat(order, heads)  # leftmost among equals
-            live = best < _NEVER * (1 << 20)
+            live = best < _NEVER * np.int32(LONG)
             count = np.diff(np.concatenate((heads, [len(sym)])))
             stay = np.repeat(live, count)
             if not live.all():
@@ -246,22 +269,22 @@ class MergeDropout:
         return self._bytes(left, np.zeros(len(left), np.int64), 1)[0]
 
     def _forget(self) -> None:
-        self.units: dict[bytes, int] = {}  # unit -> its node without skips
+        self.units: dict[str, int] = {}  # unit -> its node without skips
         self.children: dict[int, int] = {}  # (node, next skip) -> node
         # node 0 stands for long units
-        self.text: list[bytes] = [b""]
+        self.text: list[str] = [""]
         self.skipped: list[tuple[int, ...]] = [()]
         self.encoded: list[bytes] = [b""]
         self.came = np.zeros(1024, np.int64)
 
-    def _grow(self, new: list[tuple[bytes, tuple[int, ...]]]) -> int:
+    def _grow(self, new: list[tuple[str, tuple[int, ...]]]) -> int:
         """Nodes for units with their skips; the first one's number."""
         first = len(self.encoded)
         if first + len(new) > len(self.came):
             self.came = np.concatenate((self.came, np.zeros(max(len(new), len(self.came)), np.int64)))
-        for at in range(0, len(new), 16384):
-            part = new[at : at + 16384]
-            found, came = self.merge([u.decode("utf-8", "replace") for u, _ in part], [s for _, s in part])
+        for at in range(0, len(new), CHUNK):
+            part = new[at : at + CHUNK]
+            found, came = self.merge([u for u, _ in part], [s for _, s in part])
             self.encoded.extend(found)
             self.came[first + at : first + at + len(part)] = came
         self.text.extend(u for u, _ in new)
@@ -279,20 +302,19 @@ class MergeDropout:
 
     def encode_many(self, texts: list[bytes], keys: list[int]) -> list[np.ndarray]:
         """As ``encode``, with the new nodes of all texts merged together."""
-        split = [_UNIT.findall(b" " + t) if t else [] for t in texts]
+        units, sizes = self.cut([t.decode("utf-8", "replace") for t in texts])
         if len(self.encoded) > MEMO_NODES:
             self._forget()
-        new, long = set().union(*split).difference(self.units), []
+        new, long = set(units).difference(self.units), False
         if any(len(u) > LONG for u in new):
-            long = [u for u in new if len(u) > LONG]
-            new.difference_update(long)
+            long = True
+            new = [u for u in new if len(u) <= LONG]
         new = list(new)
         if new:
             first = self._grow([(u, ()) for u in new])
             self.units.update(zip(new, range(first, first + len(new))))
-        sizes = np.array(list(map(len, split)), np.int64)
-        node_of = (lambda u: self.units.get(u, 0)) if long else self.units.__getitem__
-        node = np.fromiter(chain.from_iterable(map(node_of, units) for units in split), np.int64, int(sizes.sum()))
+        get = (lambda u: self.units.get(u, 0)) if long else self.units.__getitem__
+        node = np.fromiter(map(get, units), np.int64, len(units))
         key = np.zeros(len(node), np.uint64)
         if len(self.gaps):
             seed = mix64(np.array([k & (1 << 64) - 1 for k in keys], np.uint64) + mix64(np.array([self.seed & (1 << 64) - 1], np.uint64)))
@@ -312,9 +334,8 @@ class MergeDropout:
                 node[at] = np.array([self.children[w] for w in wanted], np.int64)[back] if wanted else node[at]
         parts, out, begin = list(map(self.encoded.__getitem__, node.tolist())), [], 0
         if long:
-            flat = list(chain.from_iterable(split))
             for i in np.flatnonzero(node == 0).tolist():
-                parts[i] = self.merge_long(flat[i].decode("utf-8", "replace"), int(key[i]))
+                parts[i] = self.merge_long(units[i], int(key[i]))
         for n in sizes.tolist():
             out.append(np.frombuffer(b"".join(parts[begin : begin + n]), self.kind))
             begin += n
