@@ -28,7 +28,7 @@ def score_segments(vertices, faces, overrides=None, axis=None, extra=None, has_v
     """Weighted metric rows of all segments; ``extra``: rows of the volume metrics, of the same columns."""
     results = measure(vertices, faces, GEOMETRY, axis)
     if extra is not None:
-        results = results.unionByName(extra)
+        results = results.unionByName(extra, allowMissingColumns=True)
     tier = scoring.tier(has_volume or extra is not None, axis is not None)
     return scoring.suppress(scoring.weigh(results, tier, overrides), approximate_fiber)
 
@@ -53,7 +53,9 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import functions as F
 
     from .operators.segments import deviations
-    from .sources.meshfiles import read_meshes
+    from .functions.geometry import scroll_id
+    from .operators.storage import stored
+    from .sources.meshfiles import _tables, mesh_files, read_rows
 
     root = args.path if args.command == "score" else args.directory
     if not os.path.exists(root):
@@ -62,20 +64,27 @@ def main(argv: list[str] | None = None) -> int:
     config = open(args.scroll_config).read() if args.scroll_config else None
     axis = axis_of(settings({"umbilicus": args.umbilicus}, config).get("umbilicus"))
     spark = SparkSession.builder.appName("meshlens").getOrCreate()
-    v, f = (df.withColumnRenamed("segment_id", "name") for df in read_meshes(spark, root, args.kind))
-    ids = v.select("name").union(f.select("name")).distinct().withColumn("segment_id", F.xxhash64("name"))
-    v, f = (df.withColumn("segment_id", F.xxhash64("name")).drop("name") for df in (v, f))
+    rows = stored(read_rows(spark, root, args.kind), "meshes")
+    ids = mesh_files(rows).withColumnRenamed("segment_id", "name").withColumn("segment_id", F.xxhash64("name"))
+    v, f = (df.withColumnRenamed("segment_id", "name").withColumn("segment_id", F.xxhash64("name")).drop("name") for df in _tables(rows.filter("kind in ('v', 'f')")))
     weighted = score_segments(v, f, json.loads(args.weights) if args.weights else None, axis)
     if args.command == "batch":
-        ranked = scoring.ranking(weighted, ids).join(ids, "segment_id").drop("segment_id").withColumnRenamed("name", "segment_id")
+        ranked = scoring.ranking(weighted, ids).drop("segment_id").withColumnRenamed("name", "segment_id")
+        ranked = ranked.select("segment_id", *(c for c in ranked.columns if c != "segment_id"))
         scoring.write_csv(ranked, args.output)
         return 0
     names = {r["segment_id"]: r["name"] for r in ids.collect()}  # the files of one path
     if not names:
         print(f"no {args.kind} files in {root}", file=sys.stderr)
         return 1
+    broken = {r["name"]: r["error"] for r in ids.filter("error is not null").collect()}
+    for name, error in sorted(broken.items()):
+        print(f"{name}: {error}", file=sys.stderr)
+    if len(broken) == len(names):
+        return 1
     if args.format == "json":
-        for r in scoring.json_reports(weighted).collect():
+        known = ids.select("segment_id", F.col("obj_path").alias("file"), scroll_id(F.col("obj_path")).alias("scroll_id"), "n_vertices", "n_faces")
+        for r in scoring.json_reports(weighted, known).collect():
             print(json.dumps(json.loads(r["report"]) | {"segment_id": names[r["segment_id"]]}))
     else:
         for r in scoring.text_report(weighted).orderBy("segment_id", "metric").collect():

@@ -50,11 +50,6 @@ def axis_angle(a: Vector, b: Vector) -> Column:
     return F.degrees(F.acos(clip(F.abs(F.when(d > 0, dot(a, b) / d).otherwise(0.0)), 0.0, 1.0)))
 
 
-def wrap_degrees(d: Column) -> Column:
-    """A difference of two angles of (-180, 180], wrapped; exactly 180 and -180 stay."""
-    return F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
-
-
 def polar_degrees(x: Column, z: Column, ux: Column, uz: Column) -> Column:
     return F.degrees(F.atan2(z - uz, x - ux))
 
@@ -90,6 +85,14 @@ def status_colour(score: Column) -> Column:
     return F.when(score >= 0.9, "#4caf50").when(score >= 0.75, "#2196f3").when(score >= 0.5, "#ff9800").otherwise("#f44336")
 
 
+def bucket(score: Column, bounds: tuple[float, ...], names: tuple[str, ...]) -> Column:
+    """The first name whose bound the score reaches, else the last name: page (0.9, 0.75, 0.5), batch (0.95, 0.85), text (0.75, 0.5)."""
+    out = F.lit(names[-1])
+    for least, name in reversed(list(zip(bounds, names))):
+        out = F.when(score >= least, name).otherwise(out)
+    return out
+
+
 def scroll_id(path: Column) -> Column:
     """The scroll named in a path, else null."""
     return F.nullif(F.regexp_extract(path, r"PHerc\d+[A-Z]?|PHercParis\d+(?:Fr\d+)?", 0), F.lit(""))

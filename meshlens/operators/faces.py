@@ -70,3 +70,29 @@ def grid_cells(faces: DataFrame, cells: int = 8) -> DataFrame:
         return F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor((F.col(c) - F.col(f"lo_{c}")) / F.when(extent == 0, 1.0).otherwise(extent) * (cells - 1e-9)).cast("int")))
 
     return out.select("segment_id", "face_id", cell("cx").alias("ix"), cell("cy").alias("iy"), cell("cz").alias("iz"))
+
+
+def edge_gradient(vertices: DataFrame, edges: DataFrame, value: str) -> DataFrame:
+    """segment_id, u, w, gradient: change of a vertex column along edges (segment_id, u, w) by their length, of 1e-12 at least."""
+    end = lambda k: vertices.select("segment_id", F.col("vertex_id").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("x", "y", "z")), F.col(value).alias(f"{k}_v"))
+    length = F.sqrt(sum((F.col(f"u_{c}") - F.col(f"w_{c}")) ** 2 for c in "xyz"))
+    both = edges.join(end("u"), ["segment_id", "u"]).join(end("w"), ["segment_id", "w"])
+    return both.select("segment_id", "u", "w", (F.abs(F.col("u_v") - F.col("w_v")) / F.greatest(length, F.lit(1e-12))).alias("gradient"))
+
+
+def decimate(vertices: DataFrame, faces: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """Vertices of one grid cell become one (the smallest id, at their mean place); faces that collapse or repeat go.
+
+    An approximation of quadric decimation by vertex clustering.
+    """
+    cell = [F.floor(F.col(c) / size).alias(f"c{c}") for c in "xyz"]
+    placed = vertices.select("segment_id", "vertex_id", "x", "y", "z", *cell)
+    kept = placed.groupBy("segment_id", "cx", "cy", "cz").agg(F.min("vertex_id").alias("to"), *(F.avg(c).alias(c) for c in "xyz"))
+    moved = placed.select("segment_id", "vertex_id", "cx", "cy", "cz").join(kept.select("segment_id", "cx", "cy", "cz", "to"), ["segment_id", "cx", "cy", "cz"])
+    out = faces
+    for k in ("v0", "v1", "v2"):
+        out = out.join(moved.select("segment_id", F.col("vertex_id").alias(k), F.col("to").alias(f"n{k}")), ["segment_id", k])
+    whole = out.filter("nv0 <> nv1 and nv1 <> nv2 and nv2 <> nv0")
+    corners = F.sort_array(F.array("nv0", "nv1", "nv2"))
+    one = whole.groupBy("segment_id", corners.alias("corners")).agg(F.min(F.struct("face_id", "nv0", "nv1", "nv2")).alias("f"))
+    return kept.select("segment_id", F.col("to").alias("vertex_id"), "x", "y", "z"), one.select("segment_id", "f.face_id", F.col("f.nv0").alias("v0"), F.col("f.nv1").alias("v1"), F.col("f.nv2").alias("v2"))

@@ -50,7 +50,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFram
         spread = now.join(seen, ["segment_id", "a"], "left").select("segment_id", "a", F.least("label", "least").alias("label"))
         jump = spread.select("segment_id", F.col("a").alias("label"), F.col("label").alias("far"))
         now = stored(spread.join(jump, ["segment_id", "label"]).select("segment_id", "a", F.col("far").alias("label")), "labels")
-        mark = now.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        mark = now.agg(F.sum(F.xxhash64("label").cast("decimal(38,0)"))).first()[0]
         if mark == before:
             return now.select("segment_id", F.col("a").alias(node), "label")
         before = mark
@@ -58,12 +58,12 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFram
 
 def boundary_ring(faces: DataFrame, hops: int = 3) -> DataFrame:
     """Vertices at most ``hops`` edges away from a boundary edge."""
-    edges = vertex_edges(faces)
-    steps = edges.toDF("segment_id", "vertex_id", "next").union(edges.select("segment_id", "w", "u"))
+    both = F.explode(F.array(F.struct("u", "w"), F.struct(F.col("w").alias("u"), F.col("u").alias("w")), F.struct("u", F.col("u").alias("w")), F.struct(F.col("w").alias("u"), "w")))
+    steps = stored(vertex_edges(faces).select("segment_id", both.alias("s")).select("segment_id", F.col("s.u").alias("vertex_id"), F.col("s.w").alias("next")).distinct(), "steps")
     rim = boundary_edges(faces)
     ring = rim.select("segment_id", F.explode(F.array("u", "w")).alias("vertex_id")).distinct()
-    for _ in range(hops):
-        ring = ring.union(ring.join(steps, ["segment_id", "vertex_id"]).select("segment_id", F.col("next"))).distinct()
+    for _ in range(hops):  # each vertex is a step from itself, so a hop names the ring before it once
+        ring = ring.join(steps, ["segment_id", "vertex_id"]).select("segment_id", F.col("next").alias("vertex_id")).distinct()
     return ring
 
 
@@ -88,6 +88,6 @@ def vertex_fans(faces: DataFrame) -> DataFrame:
     ends = half_edges(faces).select("segment_id", "face_id", F.explode(F.array("u", "w")).alias("vertex_id"), F.struct("u", "w").alias("edge"))
     w = Window.partitionBy("segment_id", "vertex_id", "edge").orderBy("face_id")
     links = ends.distinct().select("segment_id", "vertex_id", "face_id", F.lead("face_id").over(w).alias("next")).filter("next is not null")
-    key = lambda f: F.col("vertex_id") * (1 << 31) + F.col(f)
+    key = lambda f: F.struct(F.col("vertex_id"), F.col(f).alias("face_id"))
     found = components(inc.select("segment_id", key("face_id").alias("id")), links.select("segment_id", key("face_id").alias("i"), key("next").alias("j")))
-    return found.groupBy("segment_id", F.expr(f"id div {1 << 31}").alias("vertex_id")).agg(F.countDistinct("label").alias("fans"))
+    return found.groupBy("segment_id", F.col("id.vertex_id").alias("vertex_id")).agg(F.countDistinct("label").alias("fans"))

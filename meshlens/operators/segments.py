@@ -2,14 +2,14 @@
 
 Vertices and faces of a segment meet in one task, where vectorised numpy does
 what would take dozens of shuffles as joins (rings, components, neighbours).
-Memory grows with the segment: about 1 kB a face; tasks hold one segment at a
-time.  For segments beyond ``MAX_FACES`` use the joins in ``graph`` instead.
+Time grows as n log n: rings are searched from blocks of faces along sparse
+adjacency, neighbours in grid cells.  Memory grows with the segment (figures in
+the README); tasks hold one segment at a time.  The joins in ``graph`` are the
+way for segments that don't fit a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from .tritri import intersect
 
-MAX_FACES = 1_000_000
-RESULT = "segment_id long, metric string, score double, details map<string,double>, problem_faces array<long>"
+RESULT = "segment_id long, metric string, score double, details map<string,double>, problem_faces array<long>, error string"
 
 
 def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,39 +41,116 @@ def _degrees(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.degrees(np.arccos(np.clip((a * b).sum(axis=1), -1, 1)))
 
 
-def ring_sums(values: np.ndarray, a: np.ndarray, b: np.ndarray, hops: int, chunk: int = 8192) -> np.ndarray:
-    """Sum of ``values`` over all nodes within ``hops`` steps, each once: bit sets, in chunks of sources."""
+class Adjacency:
+    """Neighbours of n nodes, each once and without the node itself, by rows."""
+
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray):
+        key = np.unique(np.concatenate((a * np.int64(n) + b, b * np.int64(n) + a)))
+        key = key[key // n != key % n]
+        self.n, self.to = n, key % n
+        self.head = np.searchsorted(key // n, np.arange(n + 1))
+
+    def step(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``nodes``, neighbour) of all neighbours."""
+        count = self.head[nodes + 1] - self.head[nodes]
+        at = np.repeat(np.arange(len(nodes)), count)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        return at, self.to[self.head[nodes][at] + nth]
+
+
+def _without(x: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Elements of x that aren't in ``gone`` (both sorted)."""
+    if not len(gone):
+        return x
+    return x[gone[np.minimum(np.searchsorted(gone, x), len(gone) - 1)] != x]
+
+
+def ring_sums(values: np.ndarray, a: np.ndarray, b: np.ndarray, hops: int, chunk: int = 512) -> np.ndarray:
+    """Sum of ``values`` over all nodes within ``hops`` steps, each once: level by level from a chunk of sources."""
     n = len(values)
-    to = np.concatenate((a, b, np.arange(n)))
-    frm = np.concatenate((b, a, np.arange(n)))
-    order = np.argsort(to, kind="stable")
-    frm, heads = frm[order], np.searchsorted(to[order], np.arange(n))
-    out = np.zeros_like(values)
+    near, out = Adjacency(n, a, b), values.astype(float)
     for at in range(0, n, chunk):
         size = min(chunk, n - at)
-        bits = np.zeros((n, -(-size // 8)), np.uint8)
-        own = np.arange(size)
-        bits[at + own, own // 8] = np.uint8(128) >> (own % 8).astype(np.uint8)
+        before, now = np.zeros(0, np.int64), np.arange(size) * np.int64(n) + np.arange(at, at + size)
         for _ in range(hops):
-            bits = np.bitwise_or.reduceat(bits[frm], heads, axis=0)
-        near = np.unpackbits(bits, axis=1, count=size)
-        live = np.flatnonzero(near.any(axis=1))
-        out[at : at + size] = near[live].T.astype(float) @ values[live]
+            source, node = now // n, now % n
+            i, to = near.step(node)
+            # a neighbour of a level lies in it, in the one before or in the next
+            before, now = now, _without(_without(np.unique(source[i] * np.int64(n) + to), before), now)
+            if not len(now):
+                break
+            source, node = now // n, now % n
+            for c in range(values.shape[1]):
+                out[at : at + size, c] += np.bincount(source, values[node, c], size)
     return out
 
 
+def _ranked(d: np.ndarray, idx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest of each row of d, ties by idx: (idx, d)."""
+    bar = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    row, col = np.nonzero(d <= bar)
+    own, dist = idx[row, col], d[row, col]
+    order = np.lexsort((own, dist, row))
+    row, own, dist = row[order], own[order], dist[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return own[first].reshape(-1, k), dist[first].reshape(-1, k)
+
+
 def nearest(points: np.ndarray, k: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and squared distances of the k nearest, self included, ties by index."""
-    asked = np.arange(len(points)) if asked is None else asked
-    k = min(k, len(points))
+    """Indices and squared distances of the k nearest, self included, ties by index.
+
+    Points lie in cells of a grid; a query looks at the 27 cells around it, which
+    hold all points within one cell's width.  Those whose k-th neighbour is
+    farther come again with cells twice as wide.
+    """
+    n, asked = len(points), np.arange(len(points)) if asked is None else asked
+    k = min(k, n)
     idx, dist = np.zeros((len(asked), k), np.int64), np.zeros((len(asked), k))
-    step = max(1, 4_000_000 // max(1, len(points)))
-    for at in range(0, len(asked), step):
-        q = points[asked[at : at + step]]
-        d = np.round(sum((q[:, None, c] - points[None, :, c]) ** 2 for c in range(points.shape[1])), 9)
-        bar = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        ranked = np.where(d <= bar, d, np.inf).argsort(axis=1, kind="stable")[:, :k]
-        idx[at : at + step], dist[at : at + step] = ranked, np.take_along_axis(d, ranked, axis=1)
+    if not n or not len(asked):
+        return idx, dist
+    low, extent = points.min(axis=0), float(np.ptp(points, axis=0).max())
+    squared = lambda q, p: np.round(sum((q[..., c] - p[..., c]) ** 2 for c in range(points.shape[1])), 9)
+    some = points[asked[:: max(1, len(asked) // 32)][:32]]
+    width = float(np.sqrt(np.quantile(np.partition(squared(some[:, None], points[None]), k - 1, axis=1)[:, k - 1], 0.75))) * 1.0001 + 1e-9
+    left = np.arange(len(asked))
+    while len(left):
+        whole = width >= extent
+        width = max(width, extent / 2e6)  # cell numbers of three axes fit 63 bits
+        cell = np.floor((points - low) / width).astype(np.int64)
+        size = cell.max(axis=0) + 3
+        code = lambda c, size=size: ((c[..., 0] + 1) * size[1] + c[..., 1] + 1) * size[2] + c[..., 2] + 1
+        key = code(cell)
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+        around = np.stack(np.meshgrid(*[[-1, 0, 1]] * 2, indexing="ij"), -1).reshape(-1, 2)
+        # cells of one column are neighbours in the order of keys: nine ranges, not 27 cells
+        own = cell[asked[left]]
+        beside = own[:, None, :] + np.concatenate((around, np.zeros((9, 1), np.int64)), axis=1)[None]
+        lo, hi = np.searchsorted(ranked, code(beside) - 1), np.searchsorted(ranked, code(beside) + 1, "right")
+        count = (hi - lo).sum(axis=1)
+        again = []
+        begin = 0
+        by_count = np.argsort(count, kind="stable")  # rows of like length fill a block well
+        while begin < len(left):
+            rows = by_count[begin : begin + max(1, 2_000_000 // max(1, int(count[by_count[min(begin + 4095, len(left) - 1)]])))][:4096]
+            begin += len(rows)
+            most = int(count[rows].max())
+            r, c = lo[rows].ravel(), (hi - lo)[rows].ravel()
+            flat = np.repeat(r, c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+            filled = np.arange(most)[None, :] < count[rows][:, None]
+            near = np.zeros((len(rows), most), np.int64)
+            near[filled] = order[flat]
+            d = np.where(filled, squared(points[asked[left[rows]]][:, None], points[near]), np.inf)
+            full = np.flatnonzero(count[rows] >= k)
+            done = np.zeros(len(rows), bool)
+            if len(full):
+                found, away = _ranked(d[full], near[full], k)
+                safe = (away[:, -1] < width * width * (1 - 1e-9)) | whole
+                idx[left[rows[full[safe]]]], dist[left[rows[full[safe]]]] = found[safe], away[safe]
+                done[full[safe]] = True
+            again.append(left[rows[~done]])
+        left = np.sort(np.concatenate(again))
+        width *= 2
     return idx, dist
 
 
@@ -124,7 +200,8 @@ class Segment:
         mean = self.area.mean()
         cv = self.area.std() / mean if mean > 0 else np.inf
         score = 0.4 * (aspect < 5).mean() + 0.4 * (least > 15).mean() + 0.2 * max(0.0, 1 - cv)
-        return score, {"area_cv": cv}, np.flatnonzero((aspect >= 5) | (least <= 15))
+        finite = aspect[np.isfinite(aspect)]
+        return score, {"area_cv": cv} | ({"mean_aspect": finite.mean()} if len(finite) else {}), np.flatnonzero((aspect >= 5) | (least <= 15))
 
     def topology(self):
         n = len(self.tri)
@@ -199,6 +276,11 @@ class Segment:
         faces = np.flatnonzero(np.isin(self.tri, out).any(axis=1))
         return score, {"n_interior": len(inside), "n_outliers": len(out)}, faces
 
+    def edge_gradient(self, values: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Change of a vertex value along edges, by length."""
+        length = np.sqrt(((self.xyz[u] - self.xyz[w]) ** 2).sum(axis=1))
+        return np.abs(values[u] - values[w]) / np.maximum(length, 1e-12)
+
     def winding(self, axis: np.ndarray):
         """Angles around the axis (rows y, x, z) from the first vertex along edges; jumps over 15 degrees."""
         ux, uz = _axis_at(self.xyz[:, 1], axis)
@@ -207,14 +289,13 @@ class Segment:
         u, w = u[u != w], w[u != w]
         turn = np.full(len(theta), np.iinfo(np.int64).min)
         turn[0] = 0
-        frontier = np.array([0])
-        a, b = np.concatenate((u, w)), np.concatenate((w, u))
-        order = np.lexsort((a, b))
-        a, b = a[order], b[order]
+        frontier, near = np.array([0]), Adjacency(len(theta), u, w)
         while len(frontier):
-            live = np.isin(a, frontier) & (turn[b] == np.iinfo(np.int64).min)
-            child, first = np.unique(b[live], return_index=True)
-            parent = a[live][first]
+            at, to = near.step(frontier)
+            new = turn[to] == np.iinfo(np.int64).min
+            order = np.lexsort((frontier[at[new]], to[new]))
+            child, first = np.unique(to[new][order], return_index=True)
+            parent = frontier[at[new]][order][first]
             jump = theta[child] - theta[parent]
             turn[child] = turn[parent] + np.where(jump > 180, -1, np.where(jump < -180, 1, 0))
             frontier = child
@@ -226,7 +307,7 @@ class Segment:
         reached = angle[turn != np.iinfo(np.int64).min]
         flagged = np.unique(np.concatenate((u[bad], w[bad])))
         faces = np.flatnonzero(np.isin(self.tri, flagged).any(axis=1)) if bad.any() else None
-        return min(1.0, max(0.0, 1 - bad.sum() / ok.sum() / 0.05)), {"n_edges": ok.sum(), "n_flagged": bad.sum(), "range": np.ptp(reached)}, faces
+        return min(1.0, max(0.0, 1 - bad.sum() / ok.sum() / 0.05)), {"n_edges": ok.sum(), "n_flagged": bad.sum(), "range": np.ptp(reached), "mean_gradient": self.edge_gradient(angle, u[ok], w[ok]).mean()}, faces
 
 
 def _axis_at(y: np.ndarray, axis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,24 +322,37 @@ def _axis_at(y: np.ndarray, axis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 GEOMETRY = ("triangle_quality", "topology", "normal_consistency", "sheet_switching", "self_intersections", "noise")
+#: Name -> function of a ``Segment`` that returns (score, details, places of problem faces or None); ``register`` adds to it.
+METRICS = {name: getattr(Segment, name) for name in GEOMETRY}
+#: The metric name of rows that report a failure.
+ERROR = "error"
 _EMPTY = {"triangle_quality": 0.0}
 
 
+def register(name: str, metric) -> None:
+    """Make a metric of one's own known by name; it must be importable on the executors."""
+    METRICS[name] = metric
+
+
 def measure(vertices: DataFrame, faces: DataFrame, metrics: tuple[str, ...] = GEOMETRY, axis: list[tuple[float, float, float]] | None = None) -> DataFrame:
-    """metric rows for every segment that has vertices or faces; ``axis``: (y, x, z) rows add winding_angle."""
+    """metric rows for every segment that has vertices or faces; ``axis``: (y, x, z) rows add winding_angle.
+
+    A segment that raises gives one row of the metric ``error``, with the text.
+    """
     rod = np.array(axis, float) if axis is not None else None
 
     def run(key, v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         segment = key[0]
         rows: list[tuple] = []
-        mesh = Segment(v, f) if len(f) and len(v) else None
-        for name in metrics:
-            score, details, faces_ = getattr(mesh, name)() if mesh else (_EMPTY.get(name, 1.0), {}, None)
-            rows.append((segment, name, float(score), {k: float(x) for k, x in details.items()}, None if faces_ is None else mesh.face_ids[faces_].tolist()))
-        if rod is not None:
-            score, details, faces_ = mesh.winding(rod) if mesh else (1.0, {}, None)
-            rows.append((segment, "winding_angle", float(score), {k: float(x) for k, x in details.items()}, None if faces_ is None else mesh.face_ids[faces_].tolist()))
-        return pd.DataFrame(rows, columns=["segment_id", "metric", "score", "details", "problem_faces"])
+        try:
+            mesh = Segment(v, f) if len(f) and len(v) else None
+            steps = [(name, METRICS[name]) for name in metrics] + ([("winding_angle", lambda m: m.winding(rod))] if rod is not None else [])
+            for name, metric in steps:
+                score, details, faces_ = metric(mesh) if mesh else (_EMPTY.get(name, 1.0), {}, None)
+                rows.append((segment, name, float(score), {k: float(x) for k, x in details.items()}, None if faces_ is None else mesh.face_ids[faces_].tolist(), None))
+        except Exception as e:  # one bad segment is a row of its own, as the ranking reports it
+            rows = [(segment, ERROR, 0.0, {}, None, f"{type(e).__name__}: {e}"[:500])]
+        return pd.DataFrame(rows, columns=["segment_id", "metric", "score", "details", "problem_faces", "error"])
 
     return vertices.groupBy("segment_id").cogroup(faces.groupBy("segment_id")).applyInPandas(run, RESULT)
 
@@ -318,12 +412,3 @@ def layer_scores(profiles: DataFrame, key: str = "sample_id", distance: int = 8)
         return pd.DataFrame({key: [group[0]], "n_peaks": [len(at)], "mean_gap": [gaps.mean() if len(gaps) else None], "std_gap": [gaps.std() if len(gaps) else None]})
 
     return profiles.select(key, "pos", "value").groupBy(key).applyInPandas(run, f"{key} long, n_peaks long, mean_gap double, std_gap double")
-
-
-def iter_batches(df: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
-    for at in range(0, len(df), size):
-        yield df.iloc[at : at + size]
-
-
-def count_faces(faces: DataFrame) -> DataFrame:
-    return faces.groupBy("segment_id").agg(F.count("*").alias("n_faces"))

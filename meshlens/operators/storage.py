@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Survives lost executors, and gives the planner the table's true size:
     a checkpoint keeps the estimates of its plan, which multiply in every
-    round of a loop of joins.  Only a session without the setting gets a
-    folder of its own.
+    round of a loop of joins.  Only a local session without the setting gets
+    a folder of its own.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="meshlens-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

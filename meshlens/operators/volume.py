@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,12 +79,82 @@ def gaussian_weight(size: int):
     return F.exp(-(place("ty") * place("ty") + place("tx") * place("tx") - peak) / (2 * sigma * sigma))
 
 
-def blend(predictions: DataFrame, size: int) -> DataFrame:
-    """Overlapping tile predictions (.., ty, tx, y, x, value) blended by the bell: fragment_id, y, x, value in [0, 1]."""
+def blend(predictions: DataFrame, size: int, pixels: DataFrame | None = None) -> DataFrame:
+    """Overlapping tile predictions (.., ty, tx, y, x, value) blended by the bell: fragment_id, y, x, value in [0, 1].
+
+    ``pixels`` (fragment_id, y, x, mask): all of a fragment's pixels; those that
+    no tile covers get 0, and values are multiplied by the mask.
+    """
     w = gaussian_weight(size)
-    return predictions.groupBy("fragment_id", "y", "x").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.sum(F.col("value") * w) / F.sum(w))).alias("value"))
+    out = predictions.groupBy("fragment_id", "y", "x").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.sum(F.col("value") * w) / F.sum(w))).alias("value"))
+    if pixels is None:
+        return out
+    return pixels.join(out, ["fragment_id", "y", "x"], "left").select("fragment_id", "y", "x", (F.coalesce("value", F.lit(0.0)) * F.col("mask")).alias("value"))
+
+
+def infer(patches: DataFrame, model, batch: int = 64) -> DataFrame:
+    """fragment_id, y0, x0, values: ``model`` (a function of an array of patches, batch x layers x size x size) scores logits; the sigmoid of them.
+
+    patches: fragment_id, y0, x0, layers, size, pixels (array<float>: layer by layer, row by row).
+    """
+    import numpy as np
+
+    def run(batches):
+        for frame in batches:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                shape = (int(part["layers"].iloc[0]), int(part["size"].iloc[0]), int(part["size"].iloc[0]))
+                logits = np.asarray(model(np.stack([np.asarray(p, float).reshape(shape) for p in part["pixels"]])), float)
+                out = part[["fragment_id", "y0", "x0"]].copy()
+                out["values"] = [x.ravel().tolist() for x in 1 / (1 + np.exp(-logits))]
+                yield out
+
+    return patches.mapInPandas(run, "fragment_id long, y0 int, x0 int, values array<double>")
+
+
+def tile_patches(tiles: DataFrame, pixels: DataFrame, size: int) -> DataFrame:
+    """Patches for ``infer``: tiles (fragment_id, y0, x0) with pixels (fragment_id, layer, y, x, value), clipped to 0-200 and divided by 200."""
+    got = tile_pixels(tiles, size).join(pixels, ["fragment_id", "y", "x"])
+    cell = F.struct("layer", "ty", "tx", intensity(F.col("value")).cast("float").alias("v"))
+    each = got.groupBy("fragment_id", "y0", "x0").agg(F.sort_array(F.collect_list(cell)).alias("p"), F.countDistinct("layer").cast("int").alias("layers"))
+    return each.select("fragment_id", "y0", "x0", "layers", F.lit(size).alias("size"), F.transform("p", lambda x: x["v"]).alias("pixels"))
+
+
+def intensity(value):
+    """A voxel value clipped to 0-200, as a share of 200."""
+    return F.least(F.lit(200.0), F.greatest(F.lit(0.0), value)) / 200.0
+
+
+def sigmoid(x):
+    return 1.0 / (1.0 + F.exp(-x))
+
+
+def scaled_mask(pixels: DataFrame, column: str = "value") -> DataFrame:
+    """Masks and labels stored as 0-255 become 0-1: by fragment, divided by 255 if any value is over 1."""
+    top = F.max(column).over(Window.partitionBy("fragment_id"))
+    return pixels.withColumn(column, F.col(column) / F.when(top > 1, 255.0).otherwise(1.0))
+
+
+def missing_layers(layers: DataFrame, first: int, last: int) -> DataFrame:
+    """fragment_id, layer: gaps in the layers first to last - 1; layers: fragment_id, layer."""
+    asked = layers.select("fragment_id").distinct().withColumn("layer", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+    return asked.join(layers.select("fragment_id", "layer"), ["fragment_id", "layer"], "left_anti")
+
+
+def split(rows: DataFrame, key: str, share: float = 0.8, seed: int = 0) -> DataFrame:
+    """Rows with ``training``, by a hash of the key: the same rows at any number of partitions."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("training", digest % 1000 < int(share * 1000))
 
 
 def dice(pixels: DataFrame, prediction: str = "value", label: str = "label") -> DataFrame:
     p = (F.col(prediction) > 0.5).cast("double")
     return pixels.groupBy("fragment_id").agg((2 * F.sum(p * F.col(label)) / (F.sum(p) + F.sum(label) + 1e-8)).alias("dice"))
+
+
+def losses(pixels: DataFrame, prediction: str = "value", label: str = "label", floor: float = 1e-7) -> DataFrame:
+    """fragment_id, bce, dice_loss, loss: mean cross entropy and one minus the smooth dice of probabilities."""
+    p = F.least(F.lit(1 - floor), F.greatest(F.lit(floor), F.col(prediction)))
+    y = F.col(label)
+    each = pixels.groupBy("fragment_id").agg(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("bce"), (1 - (2 * F.sum(F.col(prediction) * y) + 1) / (F.sum(prediction) + F.sum(label) + 1)).alias("dice_loss"))
+    return each.withColumn("loss", F.col("bce") + F.col("dice_loss"))

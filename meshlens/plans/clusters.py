@@ -15,7 +15,6 @@ from ..operators.storage import stored
 
 #: Metrics that give clusters, and their tags.
 SOURCES = {"sheet_switching": "GEOM", "fiber_coherence": "FIBER", "winding_angle": "WINDING"}
-_SHIFT = 1 << 40
 
 
 def cluster_faces(results: DataFrame, faces: DataFrame, least: int = 5) -> DataFrame:
@@ -23,7 +22,7 @@ def cluster_faces(results: DataFrame, faces: DataFrame, least: int = 5) -> DataF
     order = {m: i for i, m in enumerate(SOURCES)}
     source = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))[F.col("metric")]
     flagged = results.filter(F.col("metric").isin(*SOURCES)).select("segment_id", source.alias("source"), F.explode("problem_faces").alias("face_id")).distinct()
-    nodes = flagged.withColumn("id", F.col("source") * F.lit(_SHIFT) + F.col("face_id"))
+    nodes = flagged.withColumn("id", F.struct("source", "face_id"))
     side = lambda k: nodes.select("segment_id", "source", F.col("face_id").alias(k), F.col("id").alias(f"{k}d"))
     links = graph.face_pairs(faces).join(side("i"), ["segment_id", "i"]).join(side("j"), ["segment_id", "source", "j"]).select("segment_id", F.col("id").alias("i"), F.col("jd").alias("j"))
     grouped = nodes.join(graph.components(nodes.select("segment_id", "id"), links), ["segment_id", "id"])

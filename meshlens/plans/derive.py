@@ -1,8 +1,9 @@
 """Meshes derived from the order lines, one segment for each supplier.
 
-400 vertices on a 20 x 20 grid, two triangles a cell, holes, spikes and steps;
-with ``defects`` also second sheets that cross the first, edges with three
-faces and degenerate faces.  ``MESH_SQL`` is the same in DuckDB.
+A vertex for each line, on a grid of 20 columns and as many rows as the lines
+fill, two triangles a cell, holes, spikes and steps; with ``defects`` also
+second sheets that cross the first (ids follow those of the first), edges with
+three faces and degenerate faces.  ``MESH_SQL`` is the same in DuckDB.
 """
 
 from __future__ import annotations
@@ -17,37 +18,37 @@ def meshes(spark: SparkSession, sf_dir: str, defects: bool = True) -> tuple[Data
     """vertices(segment_id, vertex_id, x, y, z), faces(segment_id, face_id, v0, v1, v2)."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", *_ORDER)
     w = Window.partitionBy("l_suppkey").orderBy(*_ORDER)
-    grid = lines.withColumn("vertex_id", F.row_number().over(w).cast("long") - 1).filter("vertex_id < 400")
+    grid = lines.withColumns({"vertex_id": F.row_number().over(w).cast("long") - 1, "n": F.count("*").over(Window.partitionBy("l_suppkey"))})
     base = grid.selectExpr(
-        "l_suppkey as segment_id", "vertex_id", "cast(vertex_id % 20 as double) as x", "cast(vertex_id div 20 as double) as y",
+        "l_suppkey as segment_id", "vertex_id", "n", "cast(vertex_id % 20 as double) as x", "cast(vertex_id div 20 as double) as y",
         "2D * l_discount + if(l_quantity >= 49, 3D, 0D) + if(l_suppkey % 2 = 0 and vertex_id div 20 >= 10, 5D, 0D) as z", "l_tax", "l_quantity",
     )
-    cells = base.filter("vertex_id % 20 < 19 and vertex_id div 20 < 19 and not (l_tax >= 0.08 and l_quantity > 40)")
+    cells = base.filter("vertex_id % 20 < 19 and vertex_id + 21 < n and not (l_tax >= 0.08 and l_quantity > 40)")
     corner = "segment_id, 2 * (vertex_id div 20 * 19 + vertex_id % 20) + k as face_id, vertex_id + k as v0, vertex_id + 1 + 20 * k as v1, vertex_id + 20 as v2"
     faces = cells.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr(*corner.split(", "))
     vertices = base.select("segment_id", "vertex_id", "x", "y", "z")
     if defects:
-        crossed = vertices.filter("segment_id % 5 = 0").selectExpr("segment_id", "vertex_id + 400 as vertex_id", "x", "y", "(y - 10D) * 0.5D as z")
-        second = vertices.filter("segment_id % 5 = 0 and x < 19 and y < 19").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr("segment_id", "722 + 2 * (vertex_id div 20 * 19 + vertex_id % 20) + k as face_id", "400 + vertex_id + k as v0", "401 + vertex_id + 20 * k as v1", "420 + vertex_id as v2")
-        one = vertices.filter("vertex_id = 0")
-        third = one.filter("segment_id % 7 = 0").selectExpr("segment_id", "5000L as face_id", "21L as v0", "22L as v1", "399L as v2")
-        flat = one.filter("segment_id % 13 = 0").selectExpr("segment_id", "5001L as face_id", "5L as v0", "5L as v1", "6L as v2")
+        crossed = base.filter("segment_id % 5 = 0").selectExpr("segment_id", "vertex_id + n as vertex_id", "x", "y", "(y - 10D) * 0.5D as z")
+        second = base.filter("segment_id % 5 = 0 and x < 19 and vertex_id + 21 < n").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr("segment_id", "2 * n + 2 * (vertex_id div 20 * 19 + vertex_id % 20) + k as face_id", "n + vertex_id + k as v0", "n + vertex_id + 1 + 20 * k as v1", "n + vertex_id + 20 as v2")
+        one = base.filter("vertex_id = 0 and n > 23")
+        third = one.filter("segment_id % 7 = 0").selectExpr("segment_id", "4 * n as face_id", "21L as v0", "22L as v1", "n - 1 as v2")
+        flat = one.filter("segment_id % 13 = 0").selectExpr("segment_id", "4 * n + 1 as face_id", "5L as v0", "5L as v1", "6L as v2")
         vertices, faces = vertices.union(crossed), faces.union(second).union(third).union(flat)
     return vertices, faces
 
 
 MESH_SQL = """
     vb as (select l_suppkey segment_id, idx vertex_id, cast(idx % 20 as double) x, cast(idx // 20 as double) y,
-        2e0 * l_discount + case when l_quantity >= 49 then 3e0 else 0e0 end + case when l_suppkey % 2 = 0 and idx // 20 >= 10 then 5e0 else 0e0 end z, l_tax, l_quantity
-        from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax, l_extendedprice) - 1 idx from lineitem) where idx < 400),
+        2e0 * l_discount + case when l_quantity >= 49 then 3e0 else 0e0 end + case when l_suppkey % 2 = 0 and idx // 20 >= 10 then 5e0 else 0e0 end z, l_tax, l_quantity, n
+        from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax, l_extendedprice) - 1 idx, count(*) over (partition by l_suppkey) n from lineitem)),
     v as (select segment_id, vertex_id, x, y, z from vb union all
-        select segment_id, vertex_id + 400, x, y, (y - 10) * 5e-1 from vb where segment_id % 5 = 0),
+        select segment_id, vertex_id + n, x, y, (y - 10) * 5e-1 from vb where segment_id % 5 = 0),
     kk as (select 0 k union all select 1),
     f as (select segment_id, 2 * (vertex_id // 20 * 19 + vertex_id % 20) + k face_id, vertex_id + k v0, vertex_id + 1 + 20 * k v1, vertex_id + 20 v2
-        from vb, kk where vertex_id % 20 < 19 and vertex_id // 20 < 19 and not (l_tax >= 0.08 and l_quantity > 40)
-        union all select segment_id, 722 + 2 * (vertex_id // 20 * 19 + vertex_id % 20) + k, 400 + vertex_id + k, 401 + vertex_id + 20 * k, 420 + vertex_id from vb, kk where segment_id % 5 = 0 and x < 19 and y < 19
-        union all select segment_id, 5000, 21, 22, 399 from vb where vertex_id = 0 and segment_id % 7 = 0
-        union all select segment_id, 5001, 5, 5, 6 from vb where vertex_id = 0 and segment_id % 13 = 0),
+        from vb, kk where vertex_id % 20 < 19 and vertex_id + 21 < n and not (l_tax >= 0.08 and l_quantity > 40)
+        union all select segment_id, 2 * n + 2 * (vertex_id // 20 * 19 + vertex_id % 20) + k, n + vertex_id + k, n + vertex_id + 1 + 20 * k, n + vertex_id + 20 from vb, kk where segment_id % 5 = 0 and x < 19 and vertex_id + 21 < n
+        union all select segment_id, 4 * n, 21, 22, n - 1 from vb where vertex_id = 0 and n > 23 and segment_id % 7 = 0
+        union all select segment_id, 4 * n + 1, 5, 5, 6 from vb where vertex_id = 0 and n > 23 and segment_id % 13 = 0),
     t as (select f.*, a.x ax, a.y ay, a.z az, b.x bx, b.y b_y, b.z bz, c.x cx, c.y cy, c.z cz from f
         join v a on a.segment_id = f.segment_id and a.vertex_id = v0 join v b on b.segment_id = f.segment_id and b.vertex_id = v1 join v c on c.segment_id = f.segment_id and c.vertex_id = v2),
     e as (select *, sqrt((bx-ax)**2 + (b_y-ay)**2 + (bz-az)**2) l0, sqrt((cx-bx)**2 + (cy-b_y)**2 + (cz-bz)**2) l1, sqrt((ax-cx)**2 + (ay-cy)**2 + (az-cz)**2) l2,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import letter_grade
@@ -44,35 +44,60 @@ def aggregate(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("segment_id").agg(score.alias("aggregate_score")).withColumn("grade", letter_grade(F.col("aggregate_score")))
 
 
+#: The order of metrics in reports, which settles ties.
+ORDER = tuple(TIER_WEIGHTS["tier3"])
+
+
+def worst(score: str = "score", metric: str = "metric"):
+    """Aggregate: the metric with the lowest score under 1, the first in report order among equals."""
+    place = F.coalesce(*(F.when(F.col(metric) == m, i) for i, m in enumerate(ORDER)), F.lit(len(ORDER)))
+    return F.min(F.when((F.col(score) < 1.0) & ~F.col(metric).isin("layer_distance", "error"), F.struct(F.col(score), place, F.col(metric).alias("metric"))))["metric"]
+
+
 def ranking(weighted: DataFrame, segments: DataFrame | None = None) -> DataFrame:
-    """One row per segment, worst first: aggregate, grade, worst metric, scores by metric.
+    """One row per segment, worst first: aggregate, grade, worst metric, scores by metric, error.
 
-    Segments without results get score 0 and grade F, as failed ones do.
+    Failed segments, and those of ``segments`` without results, get score 0 and
+    grade F.  Other columns of ``segments`` (obj_path, n_vertices, n_faces, an
+    error of reading) go into the rows.
     """
-    names = sorted(DEFAULT_WEIGHTS | TIER_WEIGHTS["tier3"])
-    total = F.sum("weight")
-    worst = F.when((F.col("score") < 1.0) & (F.col("metric") != "layer_distance"), F.struct("score", "metric"))
+    total, failed = F.sum("weight"), F.max("error")
     # one aggregate: the metrics are computed once
     out = weighted.groupBy("segment_id").agg(
-        F.when(total > 0, F.sum(F.col("score") * F.col("weight")) / total).otherwise(0.0).alias("aggregate_score"),
-        F.min(worst)["metric"].alias("worst_metric"),
-        *(F.round(F.max(F.when(F.col("metric") == m, F.col("score"))), 4).alias(m) for m in names),
+        F.when((total > 0) & failed.isNull(), F.sum(F.col("score") * F.col("weight")) / total).otherwise(0.0).alias("aggregate_score"),
+        worst().alias("worst_metric"),
+        *(F.round(F.max(F.when(F.col("metric") == m, F.col("score"))), 4).alias(m) for m in ORDER),
+        failed.alias("error"),
     )
-    out = out.withColumn("grade", letter_grade(F.col("aggregate_score"))).select("segment_id", "aggregate_score", "grade", "worst_metric", *names)
+    names = [*ORDER, "error"]
     if segments is not None:
-        out = segments.select("segment_id").join(out, "segment_id", "left")
-        out = out.withColumn("aggregate_score", F.coalesce("aggregate_score", F.lit(0.0))).withColumn("grade", F.coalesce("grade", F.lit("F")))
+        more = [c for c in segments.columns if c not in ("segment_id", "error")]
+        own = segments.withColumn("_error", F.col("error") if "error" in segments.columns else F.lit(None).cast("string")).drop("error")
+        out = own.join(out, "segment_id", "left").withColumn("error", F.coalesce("_error", "error", F.when(F.col("aggregate_score").isNull(), F.lit("no results"))))
+        out = out.withColumn("aggregate_score", F.when(F.col("error").isNull(), F.col("aggregate_score")).otherwise(0.0))
+        names = [*ORDER, *more, "error"]
+    out = out.withColumn("grade", letter_grade(F.col("aggregate_score"))).select("segment_id", "aggregate_score", "grade", "worst_metric", *names)
     return out.withColumn("aggregate_score", F.round("aggregate_score", 4)).orderBy("aggregate_score", "segment_id")
 
 
-def json_reports(weighted: DataFrame) -> DataFrame:
-    """segment_id and one JSON document: aggregate, grade and metrics."""
+def json_reports(weighted: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """segment_id and one JSON document: scroll, file, mesh figures, aggregate, grade and metrics by name.
+
+    ``segments``: scroll_id, file, n_vertices, n_faces by segment_id, all optional.
+    """
     faces = F.when(F.col("problem_faces").isNotNull(), F.size("problem_faces"))
-    item = F.struct("metric", F.round("score", 4).alias("score"), "weight", F.round(F.col("score") * F.col("weight"), 4).alias("weighted_score"), faces.alias("n_problem_faces"), F.map_entries("details").alias("details"))
-    each = weighted.groupBy("segment_id").agg(F.sort_array(F.collect_list(item)).alias("metrics"))
-    each = each.withColumn("metrics", F.transform("metrics", lambda m: m.withField("details", F.map_from_entries(m["details"]))))
-    doc = F.struct(F.lit("1.0").alias("schema_version"), "segment_id", F.round("aggregate_score", 4).alias("aggregate_score"), "grade", "metrics")
-    return each.join(aggregate(weighted), "segment_id").select("segment_id", F.to_json(doc).alias("report"))
+    item = F.struct(F.round("score", 4).alias("score"), "weight", F.round(F.col("score") * F.col("weight"), 4).alias("weighted_score"), faces.alias("n_problem_faces"), F.map_entries("details").alias("details"))
+    total = F.sum("weight")
+    # one aggregate for the metrics and their sum, so that the metrics are computed once
+    each = weighted.groupBy("segment_id").agg(F.sort_array(F.collect_list(F.struct("metric", item.alias("item")))).alias("m"), F.when(total > 0, F.sum(F.col("score") * F.col("weight")) / total).otherwise(0.0).alias("aggregate_score"))
+    named = F.map_from_entries(F.transform("m", lambda x: F.struct(x["metric"], x["item"].withField("details", F.map_from_entries(x["item"]["details"])))))
+    each = each.withColumn("grade", letter_grade(F.col("aggregate_score")))
+    if segments is not None:
+        each = each.join(segments, "segment_id", "left")
+    have = lambda c, kind: F.col(c) if segments is not None and c in segments.columns else F.lit(None).cast(kind)
+    stats = F.struct(have("n_vertices", "long").alias("n_vertices"), have("n_faces", "long").alias("n_faces"))
+    doc = F.struct(F.lit("1.0").alias("schema_version"), have("scroll_id", "string").alias("scroll_id"), "segment_id", have("file", "string").alias("file"), stats.alias("mesh_stats"), F.round("aggregate_score", 4).alias("aggregate_score"), "grade", named.alias("metrics"))
+    return each.select("segment_id", F.to_json(doc).alias("report"))
 
 
 def paint(weighted: DataFrame) -> DataFrame:
@@ -93,9 +118,3 @@ def text_report(weighted: DataFrame) -> DataFrame:
 def write_csv(ranked: DataFrame, path: str) -> None:
     """The ranking in one CSV file with a header; it has one row per segment."""
     ranked.coalesce(1).sortWithinPartitions("aggregate_score", "segment_id").write.mode("overwrite").option("header", True).csv(path)
-
-
-def empty_results(spark: SparkSession) -> DataFrame:
-    from ..operators.segments import RESULT
-
-    return spark.createDataFrame([], RESULT)

@@ -195,11 +195,11 @@ def knn(spark, sf_dir):
 
 @query(with_mesh("""pk as (select a.segment_id, a.vertex_id, b.z, round((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2, 9) d2, b.vertex_id o from v a join v b on a.segment_id = b.segment_id),
     kn as (select *, row_number() over (partition by segment_id, vertex_id order by d2, o) r from pk)
-    select segment_id, vertex_id, round(sum(z / greatest(sqrt(d2), 1e-10)) / sum(1 / greatest(sqrt(d2), 1e-10)), 5) z from kn where r between 2 and 9 group by all"""))
+    select segment_id, vertex_id, round(sum(z / greatest(sqrt(d2), 1e-10)) / sum(1 / greatest(sqrt(d2), 1e-10)), 5) + 0e0 z from kn where r between 2 and 9 group by all"""))
 def idw(spark, sf_dir):
     v = meshes(spark, sf_dir)[0]
     near = segments.neighbours(v, 9).filter("rank > 1")
-    return volume.inverse_distance(near, v, "z").withColumn("z", F.round("z", 5))
+    return volume.inverse_distance(near, v, "z").withColumn("z", F.round("z", 5) + 0.0)
 
 
 @query(with_mesh("""st as (select segment_id, u a, w b from m where u < w union select segment_id, w, u from m where u < w),
@@ -316,9 +316,9 @@ def suppression(spark, sf_dir):
     return _plain(spark, sf_dir).select("segment_id", "metric", F.round("weight", 6).alias("weight"))
 
 
-@query(with_mesh(_PLAIN + " select segment_id, arg_min(metric, score) worst_metric from ws where score < 1 group by segment_id"))
+@query(with_mesh(_PLAIN + " select segment_id, first(metric order by score, metric = 'normal_consistency') worst_metric from ws where score < 1 group by segment_id"))
 def worst_metric(spark, sf_dir):
-    return _plain(spark, sf_dir).filter("score < 1").groupBy("segment_id").agg(F.min_by("metric", "score").alias("worst_metric"))
+    return _plain(spark, sf_dir).filter("score < 1").groupBy("segment_id").agg(scoring.worst().alias("worst_metric"))
 
 
 @query(with_mesh(_PLAIN + " select segment_id, max(score) filter (metric = 'triangle_quality') triangle_quality, max(score) filter (metric = 'normal_consistency') normal_consistency from ws group by segment_id"))
@@ -379,13 +379,13 @@ def layer_distance(spark, sf_dir):
 
 @query(with_mesh(f"""c as (select segment_id, unnest([v0, v1, v2]) vertex_id, px, py, pz from g),
     s as (select segment_id, vertex_id, sum(px) px, sum(py) py, sum(pz) pz, sqrt(sum(px)**2 + sum(py)**2 + sum(pz)**2) l from c group by all),
-    pt as (select segment_id * 1000 + vertex_id sample_id, pos, cast(round_even(z + pos * pz / l, 0) as integer) - 1 iz, cast(round_even(y + pos * py / l, 0) as integer) - 1 iy, cast(round_even(x + pos * px / l, 0) as integer) - 1 ix
+    pt as (select segment_id * 1000000 + vertex_id sample_id, pos, cast(round_even(z + pos * pz / l, 0) as integer) - 1 iz, cast(round_even(y + pos * py / l, 0) as integer) - 1 iy, cast(round_even(x + pos * px / l, 0) as integer) - 1 ix
         from v join s using (segment_id, vertex_id), range(-6, 7) t(pos) where l > 0)
     select sample_id, cast(pos as integer) pos, case when iz between 0 and 23 and iy between 0 and 23 and ix between 0 and 23 then cast({_VOXEL} as double) else 0e0 end as value from pt"""))
 def ray_profile(spark, sf_dir):
     v, f = meshes(spark, sf_dir)
     n = faces_op.vertex_normals(faces_op.face_geometry(v, f)).filter("nx is not null")
-    samples = v.join(n, ["segment_id", "vertex_id"]).withColumn("sample_id", F.col("segment_id") * 1000 + F.col("vertex_id"))
+    samples = v.join(n, ["segment_id", "vertex_id"]).withColumn("sample_id", F.col("segment_id") * 1_000_000 + F.col("vertex_id"))
     return volume.ray_profiles(samples, _voxels(spark), 6)
 
 
@@ -413,7 +413,7 @@ def _samples(spark, sf_dir, n: int = 500):
     """Up to n vertices of each segment, the metrics' own sample, placed in the volume, with normals; those in bounds."""
     v, f = meshes(spark, sf_dir)
     n_ = faces_op.vertex_normals(faces_op.face_geometry(v, f))
-    placed = ct.sample_vertices(v, n).join(n_, ["segment_id", "vertex_id"]).withColumn("sample_id", F.col("segment_id") * 1000 + F.col("vertex_id"))
+    placed = ct.sample_vertices(v, n).join(n_, ["segment_id", "vertex_id"]).withColumn("sample_id", F.col("segment_id") * 1_000_000 + F.col("vertex_id"))
     return volume.in_bounds(placed.withColumns({"iz": F.rint(F.col("z") * 2 + 15).cast("int"), "iy": F.rint(F.col("y") + 14).cast("int"), "ix": F.rint(F.col("x") + 14).cast("int")}), _SHAPE, 4)
 
 
@@ -542,3 +542,113 @@ def hue_ramp(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", "if(vec_id % 9 = 0, null, (vec_id % 50) / 49D) as t")
     r, g, b = G.hue_rgb(F.col("t"))
     return e.select("vec_id", r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+@query("""with p as (select vec_id, case when vec_id % 9 = 0 then 0e0 else 1e0 end as value, (vec_id % 50) / 49e0 t from embeddings)
+    select vec_id, case when value <= 0 then 10 else cast(floor(30 + t * 225) as integer) end r, case when value <= 0 then 8 else cast(floor(20 + t * 210) as integer) end g, case when value <= 0 then 6 else cast(floor(10 + t * 175) as integer) end b from p""")
+def warm_ramp(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", "if(vec_id % 9 = 0, 0D, 1D) as value", "(vec_id % 50) / 49D as t")
+    r, g, b = G.warm_rgb(F.col("t"), F.col("value"))
+    return e.select("vec_id", r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+_MASKED = f"{_TILE_PX}, ys2 as (select fragment_id, width, unnest(range(0, height)) y from f), al as (select fragment_id, y, unnest(range(0, width)) x from ys2), mk as (select fragment_id, y, x, case when (y + x) % 5 = 0 then 0e0 else 1e0 end mask from al), bm as (select fragment_id, y, x, coalesce(value, 0e0) * mask as value from mk left join bl using (fragment_id, y, x))"
+
+
+def _masked(spark, sf_dir):
+    cells = _fragments(spark, sf_dir).withColumn("y", F.explode(F.expr("sequence(0, height - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, width - 1)")))
+    px = volume.tile_pixels(volume.tile_origins(_fragments(spark, sf_dir), 16, 8), 16)
+    return volume.blend(px.withColumn("value", F.expr("((y0 + x0 * 3 + ty * tx) % 101) / 1e2D")), 16, cells.selectExpr("fragment_id", "y", "x", "if((y + x) % 5 = 0, 0D, 1D) as mask"))
+
+
+@query(f"with {_MASKED} select fragment_id, cast(y as integer) y, cast(x as integer) x, round(value, 6) as value from bm")
+def masked_blend(spark, sf_dir):
+    return _masked(spark, sf_dir).withColumn("value", F.round("value", 6))
+
+
+@query(f"""with {_MASKED}, l as (select *, case when (x + y) % 3 = 0 then 1e0 else 0e0 end lab, least(1 - 1e-7, greatest(1e-7, value)) p from bm),
+    r as (select fragment_id, avg(-(lab * ln(p) + (1 - lab) * ln(1 - p))) bce, 1 - (2 * sum(value * lab) + 1) / (sum(value) + sum(lab) + 1) dice_loss from l group by fragment_id)
+    select fragment_id, round(bce, 6) bce, round(dice_loss, 6) dice_loss, round(bce + dice_loss, 6) loss from r""")
+def training_loss(spark, sf_dir):
+    found = volume.losses(_masked(spark, sf_dir).withColumn("label", F.expr("if((x + y) % 3 = 0, 1D, 0D)")))
+    return found.select("fragment_id", *(F.round(c, 6).alias(c) for c in ("bce", "dice_loss", "loss")))
+
+
+@query(with_mesh("z as (select 1) select segment_id, round(avg(aspect), 6) mean_aspect from g group by segment_id"))
+def mean_aspect(spark, sf_dir):
+    return _geometry(spark, sf_dir).groupBy("segment_id").agg(F.round(F.avg("aspect"), 6).alias("mean_aspect"))
+
+
+@query(with_mesh("""ed as (select m.segment_id, abs(a.z - b.z) / greatest(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), 1e-12) gr from m join v a on a.segment_id = m.segment_id and a.vertex_id = m.u join v b on b.segment_id = m.segment_id and b.vertex_id = m.w where m.u < m.w)
+    select segment_id, count(*) n, round(avg(gr), 6) mean_gradient, round(max(gr), 6) max_gradient from ed group by segment_id"""))
+def edge_gradient(spark, sf_dir):
+    v, f = meshes(spark, sf_dir)
+    found = faces_op.edge_gradient(v, graph.vertex_edges(f), "z")
+    return found.groupBy("segment_id").agg(F.count("*").alias("n"), F.round(F.avg("gradient"), 6).alias("mean_gradient"), F.round(F.max("gradient"), 6).alias("max_gradient"))
+
+
+@query(with_mesh("c as (select segment_id, avg(z) cz from v group by segment_id) select segment_id, vertex_id from v join c using (segment_id) where abs(z - cz) < 2 * 1.5e0"))
+def z_band(spark, sf_dir):
+    v = meshes(spark, sf_dir)[0]
+    return v.join(v.groupBy("segment_id").agg(F.avg("z").alias("cz")), "segment_id").filter(F.abs(F.col("z") - F.col("cz")) < 2 * 1.5).select("segment_id", "vertex_id")
+
+
+@query("select doc_id, cast(('0x' || substr(md5('0:' || doc_id), 1, 8)) as bigint) % 1000 < 800 training from documents")
+def random_split(spark, sf_dir):
+    return volume.split(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id")
+
+
+@query("select event_id, round(1 / (1 + exp(-value / 50)), 6) p, round(least(200e0, greatest(0e0, value)) / 200, 6) intensity from events")
+def sigmoid_intensity(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select("event_id", F.round(volume.sigmoid(F.col("value") / 50), 6).alias("p"), F.round(volume.intensity(F.col("value")), 6).alias("intensity"))
+
+
+_MASKS = "select s_suppkey fragment_id, unnest(range(0, 12)) px, case when s_suppkey % 3 = 0 then (unnest(range(0, 12)) * 23) % 256 else (unnest(range(0, 12)) % 2) end * 1e0 as value from supplier"
+
+
+@query(f"select fragment_id, px, value / case when max(value) over (partition by fragment_id) > 1 then 255e0 else 1e0 end as value from ({_MASKS})")
+def mask_scaling(spark, sf_dir):
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as fragment_id", "explode(sequence(0L, 11L)) as px")
+    return volume.scaled_mask(own.withColumn("value", F.expr("if(fragment_id % 3 = 0, (px * 23) % 256, px % 2) * 1D")))
+
+
+@query("""with l as (select s_suppkey fragment_id, unnest(range(0, 20)) layer from supplier), have as (select * from l where (fragment_id + layer) % 6 <> 0),
+    asked as (select distinct fragment_id, unnest(range(3, 15)) layer from have) select fragment_id, layer from asked anti join have using (fragment_id, layer)""")
+def missing_layers(spark, sf_dir):
+    have = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as fragment_id", "explode(sequence(0L, 19L)) as layer").filter("(fragment_id + layer) % 6 <> 0")
+    return volume.missing_layers(have, 3, 15).select("fragment_id", F.col("layer").cast("long").alias("layer"))
+
+
+@query(with_mesh("""cl as (select segment_id, vertex_id, floor(x / 2.5e0) a, floor(y / 2.5e0) b, floor(z / 2.5e0) c from v), mn as (select segment_id, a, b, c, min(vertex_id) n from cl group by all),
+    mv as (select cl.segment_id, vertex_id, n from cl join mn using (segment_id, a, b, c)),
+    nf as (select f.segment_id, face_id, p.n a, q.n b, r.n c from f join mv p on p.segment_id = f.segment_id and p.vertex_id = v0 join mv q on q.segment_id = f.segment_id and q.vertex_id = v1 join mv r on r.segment_id = f.segment_id and r.vertex_id = v2),
+    ok as (select *, row_number() over (partition by segment_id, list_sort([a, b, c]) order by face_id) k from nf where a <> b and b <> c and c <> a)
+    select segment_id, face_id, a v0, b v1, c v2 from ok where k = 1"""))
+def decimated_faces(spark, sf_dir):
+    return faces_op.decimate(*meshes(spark, sf_dir), 2.5)[1]
+
+
+@query("""select event_id, case when s >= 0.9 then 'green' when s >= 0.75 then 'blue' when s >= 0.5 then 'orange' else 'red' end page, case when s >= 0.95 then 'green' when s >= 0.85 then 'yellow' else 'red' end batch, case when s >= 0.75 then 'good' when s >= 0.5 then 'fair' else 'poor' end text
+    from (select event_id, (event_id % 101) / 1e2 s from events)""")
+def colour_buckets(spark, sf_dir):
+    s = (F.col("event_id") % 101) / 100.0
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", G.bucket(s, (0.9, 0.75, 0.5), ("green", "blue", "orange", "red")).alias("page"), G.bucket(s, (0.95, 0.85), ("green", "yellow", "red")).alias("batch"), G.bucket(s, (0.75, 0.5), ("good", "fair", "poor")).alias("text"))
+
+
+def _summed(name: str, key: str, columns: tuple[str, ...]):
+    """A query's rows as counts and sums for each key, beside the full rows."""
+
+    def sums(spark, sf_dir):
+        return QUERIES[name](spark, sf_dir).groupBy(key).agg(F.count("*").alias("n"), *(F.round(F.sum(F.col(c).cast("double")), 6).alias(f"sum_{c}") for c in columns))
+
+    sums.__name__ = f"{name}_sums"
+    body = ", ".join(f"round(sum(cast({c} as double)), 6) sum_{c}" for c in columns)
+    return query(f"select {key}, count(*) n, {body} from ({ORACLE_SQL[name]}) group by {key}")(sums)
+
+
+for _name, _key, _columns in (
+    ("tri_edges", "segment_id", ("l0", "l1", "l2")), ("tri_shape", "segment_id", ("area", "min_angle")), ("problem_faces", "segment_id", ("face_id",)), ("face_normals", "segment_id", ("nx", "ny", "nz")),
+    ("dihedral", "segment_id", ("angle",)), ("heatmap", "segment_id", ("r", "g", "b")), ("ray_profile", "pos", ("value",)),
+):
+    _summed(_name, _key, _columns)

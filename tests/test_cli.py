@@ -2,6 +2,7 @@ import json
 import struct
 
 from meshlens.__main__ import axis_of, main
+from meshlens.operators.segments import GEOMETRY
 from meshlens.sources import meshfiles
 from meshlens.sources.meshbytes import parse_ply, parse_stl
 
@@ -43,9 +44,12 @@ def test_score_and_batch(spark, tmp_path, capsys):
     page = tmp_path / "review.html"
     assert main(["score", str(tmp_path), "--format", "json", "--review", str(page)]) == 0
     report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert report["segment_id"] == "flat" and len(report["metrics"]) == 6
+    assert report["segment_id"] == "flat" and set(report["metrics"]) == set(GEOMETRY)
+    assert report["mesh_stats"] == {"n_vertices": 36, "n_faces": 50} and report["file"].endswith("flat.obj")
+    (tmp_path / "broken.obj").write_text("v 0 0 x\nf 1 2 3\n")
     assert "<title>flat</title>" in page.read_text() and "sheet_switching" in page.read_text()
     assert main(["batch", str(tmp_path), "-o", str(tmp_path / "out")]) == 0
     rows = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
-    assert [r["segment_id"] for r in rows] == ["flat"] and rows[0]["grade"] in "ABCDF"
+    assert [r["segment_id"] for r in rows] == ["broken", "flat"] and rows[1]["grade"] in "ABCDF" and rows[1]["n_faces"] == "50"
+    assert rows[0]["grade"] == "F" and "ValueError" in rows[0]["error"] and rows[0]["obj_path"].endswith("broken.obj")
     assert main(["score", str(tmp_path / "none")]) == 1

@@ -110,13 +110,13 @@ def test_tiers_and_suppression(spark):
     assert scoring.tier(True, True) == "tier3" and scoring.tier(False, True) == "tier1"
     for table in scoring.TIER_WEIGHTS.values():
         assert sum(table.values()) == pytest.approx(1.0)
-    rows = spark.createDataFrame([(1, "noise", 0.5, {"n_sampled": 10.0}, None), (1, "topology", 1.0, {"n_sampled": 90.0}, None)], segments.RESULT)
+    rows = spark.createDataFrame([(1, "noise", 0.5, {"n_sampled": 10.0}, None, None), (1, "topology", 1.0, {"n_sampled": 90.0}, None, None)], segments.RESULT)
     got = {r["metric"]: r["weight"] for r in scoring.suppress(scoring.weigh(rows)).collect()}
     assert got == {"noise": 0.0, "topology": 1.0}
 
 
 def test_ranking_keeps_failed_segments(spark):
-    rows = spark.createDataFrame([(1, "noise", 0.5, {}, None)], segments.RESULT)
+    rows = spark.createDataFrame([(1, "noise", 0.5, {}, None, None)], segments.RESULT)
     got = scoring.ranking(scoring.weigh(rows), spark.createDataFrame([(1,), (2,)], "segment_id long")).collect()
     assert [(r["segment_id"], r["grade"]) for r in got] == [(2, "F"), (1, "D")]
 
@@ -126,3 +126,42 @@ def test_entry_and_guard(spark):
 
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rings_and_neighbours_equal_brute_force():
+    r = np.random.default_rng(3)
+    for n, k in ((1, 3), (7, 20), (60, 5), (400, 20)):
+        points = np.round(r.normal(size=(n, 3)) * [1, 6, 0.2], 1)  # many ties
+        d = np.round(sum((points[:, None, c] - points[None, :, c]) ** 2 for c in range(3)), 9)
+        assert (segments.nearest(points, k)[0] == np.argsort(d, axis=1, kind="stable")[:, : min(k, n)]).all()
+    n, a, b = 300, r.integers(0, 300, 500), r.integers(0, 300, 500)
+    values, near = r.normal(size=(n, 3)), np.eye(n, dtype=bool)
+    near[a, b] = near[b, a] = True
+    reach = np.eye(n, dtype=bool)
+    for _ in range(4):
+        reach = (reach.astype(int) @ near.astype(int)) > 0
+    assert np.allclose(segments.ring_sums(values, a, b, 4, 64), reach.astype(float) @ values)
+
+
+def test_failed_segments_are_rows(spark):
+    good = [(1, i, float(i % 2), float(i // 2), 0.0) for i in range(4)]
+    v = spark.createDataFrame(good + [(2, i, 0.0, 0.0, 0.0) for i in range(3)], "segment_id long, vertex_id long, x double, y double, z double")
+    f = spark.createDataFrame([(1, 0, 0, 1, 2), (1, 1, 1, 3, 2), (2, 0, 0, 1, 99)], "segment_id long, face_id long, v0 long, v1 long, v2 long")
+    rows = {r["segment_id"]: r for r in scoring.ranking(scoring.weigh(segments.measure(v, f))).collect()}
+    assert rows[1]["error"] is None and rows[1]["aggregate_score"] > 0 and rows[2]["grade"] == "F" and "IndexError" in rows[2]["error"]
+
+
+def test_metric_registry(spark):
+    segments.register("flatness", lambda m: (1.0 - float(np.ptp(m.xyz[:, 2])), {}, None))
+    v = spark.createDataFrame([(1, i, float(i % 2), float(i // 2), 0.25 * i) for i in range(4)], "segment_id long, vertex_id long, x double, y double, z double")
+    f = spark.createDataFrame([(1, 0, 0, 1, 2), (1, 1, 1, 3, 2)], "segment_id long, face_id long, v0 long, v1 long, v2 long")
+    try:
+        got = {r["metric"]: r["score"] for r in segments.measure(v, f, ("flatness", "topology")).collect()}
+    finally:
+        del segments.METRICS["flatness"]
+    assert got["flatness"] == 0.25 and set(got) == {"flatness", "topology"}
+
+
+def test_worst_metric_ties_go_by_report_order(spark):
+    rows = spark.createDataFrame([(1, "noise", 0.5, {}, None, None), (1, "topology", 0.5, {}, None, None), (1, "layer_distance", 0.0, {}, None, None)], segments.RESULT)
+    assert scoring.ranking(scoring.weigh(rows)).first()["worst_metric"] == "topology"
