@@ -31,13 +31,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Rows (u, v) of links -> rows (node, root) for every node that has a link."""
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
+    """Rows (u, v) of links -> rows (node, root) for every node that has a link.
+
+    ``files``: into how many parts the rounds are written, where the caller
+    knows how few links there are.
+    """
     shared_dir(edges.sparkSession)
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct().checkpoint()
+    kept = lambda df: (df.coalesce(files) if files else df).checkpoint()
+    now = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
-        now = _star(_star(now, True), False).checkpoint()
+        now = kept(_star(_star(now, True), False))
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == mark:
             break

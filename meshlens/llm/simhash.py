@@ -232,7 +232,8 @@ def simhash_components(docs: DataFrame, shingle: int = 5, bits: int = 2, id_col:
     nodes = materialize(prints.groupBy("_sim_print").agg(F.min("_sim_id").alias("_sim_first")), "simhash-nodes")
     keys = nodes.select("_sim_print").mapInArrow(_keys, "_sim_key long, _sim_print long")
     links = keys.repartition("_sim_key").sortWithinPartitions("_sim_key").mapInArrow(_links(bits), "u long, v long")
-    roots = components(links).withColumnRenamed("node", "_sim_print").withColumnRenamed("root", "_sim_root")
+    links = materialize(links, "simhash-links")
+    roots = components(links, max(8, -(-links.count() // 50_000))).withColumnRenamed("node", "_sim_print").withColumnRenamed("root", "_sim_root")
     linked = nodes.join(roots, "_sim_print", "left").withColumn("_sim_root", F.coalesce("_sim_root", "_sim_print"))
     least = linked.groupBy("_sim_root").agg(F.min("_sim_first").alias("_sim_component"))
     component = linked.join(least, "_sim_root").select("_sim_print", "_sim_component")

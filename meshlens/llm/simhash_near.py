@@ -13,10 +13,14 @@ integers, so that no pair below the threshold is linked:
 
 A bucket of minima gives all pairs of nodes that are not yet in one component,
 if there are at most ``EACH`` for each node.  Larger ones give the pairs with a
-few centres and come again with the components found so far; nodes of buckets
-that are still large then (texts that share a passage but not the rest) get
-finer keys (``FINE_ROWS`` of ``FINE_BANDS``, missed as rarely), with more
-centres each round until every bucket is done.
+few centres and come again with the components found so far.  What is left
+after ``COARSE_ROUNDS`` (texts around a large group, or that share a passage but
+not the rest) gives no pairs: the bucket's sets, one row for each node, meet in
+a task, which compares every node outside of the largest component with all
+others at once and returns the links of a forest.  Buckets of more than
+``HELD`` nodes get finer keys first (``FINE_ROWS`` of ``FINE_BANDS``, missed as
+rarely); if one is as large even then, centres go on, four times as many each
+round, until every pair is settled.
 
 Null and wordless texts have the hash of the empty text as their set; texts
 with fewer words than a shingle have one shingle; very long texts count whole.
@@ -44,7 +48,9 @@ from .wordhash import mix64
 
 BANDS, ROWS = 52, 6
 FINE_BANDS, FINE_ROWS = 230, 12
-EACH, CENTRES, COARSE_ROUNDS = 16, 8, 2
+EACH, CENTRES, COARSE_ROUNDS, HELD = 4, 2, 2, 4096
+#: Rows of nodes or links for each file of a written table.
+FILE_ROWS = 50_000
 
 
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
@@ -189,6 +195,53 @@ def _pairs(turn: int, centres: int):
     return run
 
 
+def bucket_links(node: np.ndarray, label: np.ndarray, own: list[np.ndarray], least: Fraction) -> list[tuple[int, int]]:
+    """Links that connect what similar pairs of a bucket's nodes connect, beyond the labels."""
+    n, size = len(node), np.array(list(map(len, own)), np.int64)
+    flat = np.concatenate(own)
+    order = np.argsort(flat, kind="stable")
+    flat, holder = flat[order], np.repeat(np.arange(n), size)[order]
+    root = np.unique(label, return_inverse=True)[1]
+    links = []
+    for i in np.flatnonzero(root != np.bincount(root).argmax()):
+        lo, hi = np.searchsorted(flat, own[i]), np.searchsorted(flat, own[i], "right")
+        at = np.repeat(lo, hi - lo) + np.arange(int((hi - lo).sum())) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+        common = np.bincount(holder[at], minlength=n)
+        near = common * least.denominator >= (size + size[i] - common) * least.numerator
+        for j in np.flatnonzero(near & (root != root[i])):
+            if root[j] != root[i]:
+                links.append((int(node[i]), int(node[j])))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def _held(least: Fraction):
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        key, node, label = (rows[c].to_numpy() for c in ("key", "node", "label"))
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["own"]]
+        links = [x for a, b in zip(heads, [*heads[1:], len(key)]) for x in bucket_links(node[a:b], label[a:b], own[a:b], least)]
+        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last bucket may go on
+        for batch in batches:
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut or (held and held[-1].column("key")[0].as_py() != key[0]):
+                yield solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return run
+
+
 def _sets(shingle: int):
     schema = pa.schema([("node", pa.int64()), ("own", pa.binary())])
 
@@ -228,40 +281,55 @@ def similar_components(docs: DataFrame, shingle: int = 5, least: Fraction = Frac
     rows = docs.select(F.col(id_col).cast("long").alias("_near_id"), F.col(text_col).cast("string").alias("_near_text"))
     sketch = materialize(rows.mapInArrow(_sketch(shingle), "_near_id long, _near_node long, _near_print long, _near_keys binary, _near_text string"), "near-sketch")
     nodes = materialize(sketch.groupBy("_near_node").agg(F.min("_near_id").alias("_near_first"), F.min("_near_print").alias("_near_print"), F.min("_near_keys").alias("_near_keys")), "near-nodes")
+    # files by the rows that they may hold: many small ones cost more than their rows
+    files = max(8, -(-nodes.count() // FILE_ROWS))
+    written = lambda df, name: materialize(df.coalesce(files), name)
     members = nodes.select("_near_node", "_near_keys").mapInArrow(_coarse, "key long, node long").withColumn("label", F.col("node"))
-    sets = labels = None
-    turn, centres, fine, spent = 0, CENTRES, False, None
-    while True:
-        found = materialize(members.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(turn, centres), "key long, u long, v long"), "near-pairs")
-        pairs = found.filter("key is null").select("u", "v")
-        if sets is None:  # of all nodes that have a candidate; later rounds have no others
-            golay = materialize(_golay_pairs(nodes), "near-golay")
-            pairs = pairs.union(golay)
-            company = found.select("u", "v").union(golay).select(F.explode(F.array("u", "v")).alias("_near_node")).distinct()
-            texts = sketch.select("_near_node", "_near_text").join(company, "_near_node", "left_semi").groupBy("_near_node").agg(F.first("_near_text").alias("_near_text"))
-            sets = materialize(texts.mapInArrow(_sets(shingle), "node long, own binary"), "near-sets")
-            labels = sets.select("node", F.col("node").alias("label"))
-        both = pairs.distinct().join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
-        verified = both.select("u", "v", "a", "b").mapInArrow(_verified(least), "u long, v long")
+    found = written(members.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(0, CENTRES), "key long, u long, v long"), "near-pairs")
+    golay = written(_golay_pairs(nodes), "near-golay")
+    company = found.select("u", "v").union(golay).select(F.explode(F.array("u", "v")).alias("_near_node")).distinct()
+    texts = sketch.select("_near_node", "_near_text").join(company, "_near_node", "left_semi").groupBy("_near_node").agg(F.first("_near_text").alias("_near_text"))
+    sets = written(texts.mapInArrow(_sets(shingle), "node long, own binary"), "near-sets")  # of all nodes that have a candidate
+    labels = sets.select("node", F.col("node").alias("label"))
+
+    def merged(links: DataFrame) -> None:
+        """Join the components that links (u, v) connect."""
+        nonlocal labels
         ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("u", "v")]
-        joins = materialize(verified.join(ends[0], "u").join(ends[1], "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v")).distinct(), "near-links")
-        if not joins.isEmpty():
-            roots = components(joins)
-            before, labels = labels, materialize(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "near-labels")
+        joins = written(links.join(ends[0], "u").join(ends[1], "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v")).distinct(), "near-links")
+        n = joins.count()
+        if n:
+            roots = components(joins, max(1, -(-n // FILE_ROWS)))
+            before, labels = labels, written(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "near-labels")
             release(before)
-        release(joins, spent)
-        again, spent = found.filter("key is not null").select("key", F.col("u").alias("node")), found
+        release(joins)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+        return both.select("u", "v", "a", "b").mapInArrow(_verified(least), "u long, v long")
+
+    merged(verified(found.filter("key is null").select("u", "v").union(golay)))
+    turn, centres, fine = 1, CENTRES, False
+    while True:
+        again = found.filter("key is not null").select("key", F.col("u").alias("node"))
         if again.isEmpty():
             break
+        if turn >= COARSE_ROUNDS:
+            sizes = again.groupBy("key").agg(F.count("*").alias("n"))
+            small = again.join(sizes.filter(F.col("n") <= HELD).select("key"), "key").join(labels, "node").join(sets, "node").select("key", "node", "label", "own")
+            merged(small.repartition("key").sortWithinPartitions("key").mapInArrow(_held(least), "u long, v long"))
+            again = again.join(sizes.filter(F.col("n") > HELD).select("key"), "key")
+            if again.isEmpty():
+                break
+            if not fine:
+                fine = True
+                again = again.select("node").distinct().join(sets, "node").select("node", "own").mapInArrow(_fine, "key long, node long")
+            else:
+                centres *= 4
+        spent, found = found, written(again.join(labels, "node").select("key", "node", "label").repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(turn, centres), "key long, u long, v long"), "near-pairs")
+        release(spent)
+        merged(verified(found.filter("key is null").select("u", "v")))
         turn += 1
-        if turn == COARSE_ROUNDS:
-            again = again.select("node").distinct().join(sets, "node").select("node", "own").mapInArrow(_fine, "key long, node long")
-            fine = True
-        elif fine:
-            centres *= 4
-        members = again.join(labels, "node").select("key", "node", "label")
-        if turn == COARSE_ROUNDS:
-            members = materialize(members, "near-fine")
     linked = nodes.select("_near_node", "_near_first").join(labels.select(F.col("node").alias("_near_node"), F.col("label").alias("_near_root")), "_near_node", "left").withColumn("_near_root", F.coalesce("_near_root", "_near_node"))
     smallest = linked.groupBy("_near_root").agg(F.min("_near_first").alias("_near_component"))
     component = linked.join(smallest, "_near_root").select("_near_node", "_near_component")

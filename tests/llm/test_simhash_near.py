@@ -54,9 +54,10 @@ def test_stage_equals_jaccard_groups(spark):
     assert _check(spark, list(enumerate(texts))) > 20
 
 
-@pytest.mark.parametrize("rounds", [1, 2])
-def test_stage_on_a_large_group(spark, monkeypatch, rounds):
-    """Buckets over the limit come again, then with fine keys: chains and outliers are found by centres or in the end."""
+@pytest.mark.parametrize("rounds,held", [(1, 4096), (2, 20), (1, 3)])
+def test_stage_on_a_large_group(spark, monkeypatch, rounds, held):
+    """Buckets over the limit come again, are held in a task or get fine keys: chains and outliers are found whichever way."""
+    monkeypatch.setattr(simhash_near, "HELD", held)
     monkeypatch.setattr(simhash_near, "EACH", 1)
     monkeypatch.setattr(simhash_near, "CENTRES", 2)
     monkeypatch.setattr(simhash_near, "COARSE_ROUNDS", rounds)
