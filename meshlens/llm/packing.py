@@ -419,7 +419,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, closing: in
     counts = pieces.groupBy("_pk_length", "_pk_task").agg(F.count("*").alias("_pk_n"))
     before = Window.partitionBy("_pk_length").orderBy("_pk_task").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each task and length: no more than tasks x capacity
-    bases = materialize(counts.withColumn("_pk_base", F.coalesce(F.sum("_pk_n").over(before), F.lit(0))), "pack-counts")
+    files = max(8, -(-pieces.count() // 100_000))  # no more rows than pieces
+    bases = materialize(counts.withColumn("_pk_base", F.coalesce(F.sum("_pk_n").over(before), F.lit(0))).coalesce(files), "pack-counts")
     totals = Counter({r["_pk_length"]: r["n"] for r in bases.groupBy("_pk_length").agg(F.sum("_pk_n").alias("n")).collect()})  # at most capacity rows
     plan = _plan(bin_completion(totals, capacity))
     # merged, not broadcast: the bases grow with the tasks
