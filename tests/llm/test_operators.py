@@ -659,3 +659,44 @@ def test_pipeline_stages(spark):
             assert len(texts) == len(set(texts)) and set(texts) == {r["text"] for r in before.collect()}
     pieces = rows(p.STAGES[-1][1](spark, docs, sf))
     assert {x["doc_id"] for x in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_pipeline_decisions(spark):
+    """Each stage's rows against a plain twin of its rule (near copies: test_simhash_near)."""
+    import corpus_pipeline as p
+    from meshlens.llm.queries import PII_KEY, toxicity_model
+
+    sf = "/root/testdata/sf0.001"
+    stages = dict(p.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = spark.createDataFrame([(10_001, "card 4111111111111111 of a.b@x.example.org", "en", "s", 42), (10_002, None, "en", "s", 0), (10_003, "", None, None, None)], docs.schema)
+    docs = docs.unionByName(extra)
+    model = toxicity_model(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = {r["doc_id"] for r in stages["toxicity"](spark, docs, sf).collect()}
+    assert kept == {d for d, t in texts.items() if model.score((t or "").encode()) < 0.7}
+    owner = {}
+    for d, t in texts.items():
+        owner[t or ""] = max(d, owner.get(t or "", d))
+    assert {r["doc_id"] for r in stages["exact_dedup"](spark, docs, sf).collect()} == set(owner.values())
+    private = stages["pii"](spark, docs, sf).collect()
+    assert {r["doc_id"]: r["text"] for r in private} == {d: t and _pii_by_hand(t, PII_KEY) for d, t in texts.items()}
+    pieces = rows(stages["best_fit_packing"](spark, docs, sf))
+    end = Counter()
+    for x in sorted(pieces, key=lambda x: (x["sequence_id"], x["offset"])):
+        assert x["offset"] == end[x["sequence_id"]]
+        end[x["sequence_id"]] += x["length"]
+    assert max(end.values()) <= 2048 and {x["doc_id"] for x in pieces} == set(texts)
+
+
+def test_pipeline_odd(spark, odd_docs, no_docs):
+    import corpus_pipeline as p
+
+    for docs in (odd_docs, no_docs):
+        for name, stage in p.STAGES:
+            out = stage(spark, docs, "/root/testdata/sf0.001")
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns
+                docs = spark.createDataFrame(out.collect(), docs.schema)
+            else:
+                assert {x["doc_id"] for x in rows(out)} == {r["doc_id"] for r in docs.collect()}
