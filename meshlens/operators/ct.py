@@ -255,7 +255,7 @@ def layer_gaps(profiles: DataFrame, distance: int = 8) -> DataFrame:
     return profiles.select("sample_id", "pos", "value").groupBy(F.expr(_FEW)).applyInPandas(run, "sample_id long, gap double")
 
 
-def layer_distance(segments: DataFrame, faces: DataFrame, samples: DataFrame, chunks: DataFrame, edge: int, reach: int = 200, shift: int = -1, distance: int = 8) -> DataFrame:
+def layer_distance(segments: DataFrame, faces: DataFrame, samples: DataFrame, chunks: DataFrame, edge: int, reach: int = 200, shift: int = -1, distance: int = 8, parts: int = 8) -> DataFrame:
     """Metric rows: evenness of the gaps between layers along the samples' normals.
 
     samples: sample_id, segment_id, vertex_id, iz, iy, ix, nx, ny, nz in
@@ -264,7 +264,7 @@ def layer_distance(segments: DataFrame, faces: DataFrame, samples: DataFrame, ch
     """
     steps = samples.filter(G.norm(G.vector("n")) > 1e-10).withColumn("pos", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
     at = steps.select("sample_id", "pos", *((F.rint(F.col(f"i{c}") + F.col("pos") * F.col(f"n{c}") / G.norm(G.vector("n"))).cast("int") + shift).alias(f"i{c}") for c in "zyx"))
-    gaps = samples.select("sample_id", "segment_id", "vertex_id").join(layer_gaps(chunk_values(at, chunks, edge), distance), "sample_id")
+    gaps = samples.select("sample_id", "segment_id", "vertex_id").join(layer_gaps(chunk_values(at, chunks, edge, parts), distance), "sample_id")
     sampled = samples.groupBy("segment_id").agg(F.count("*").alias("n"))
     of = gaps.groupBy("segment_id").agg(F.count("*").alias("gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"), F.percentile("gap", 0.5).alias("median"))
     cv = F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")).otherwise(1.0)

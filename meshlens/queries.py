@@ -410,11 +410,12 @@ def _chunks(spark):
 
 
 def _samples(spark, sf_dir, n: int = 500):
-    """Up to n vertices of each segment, the metrics' own sample, placed in the volume, with normals; those in bounds."""
+    """Up to n vertices of each segment, the metrics' own sample among those in bounds, placed in the volume, with normals."""
     v, f = meshes(spark, sf_dir)
     n_ = faces_op.vertex_normals(faces_op.face_geometry(v, f))
-    placed = ct.sample_vertices(v, n).join(n_, ["segment_id", "vertex_id"]).withColumn("sample_id", F.col("segment_id") * 1_000_000 + F.col("vertex_id"))
-    return volume.in_bounds(placed.withColumns({"iz": F.rint(F.col("z") * 2 + 15).cast("int"), "iy": F.rint(F.col("y") + 14).cast("int"), "ix": F.rint(F.col("x") + 14).cast("int")}), _SHAPE, 4)
+    placed = v.withColumns({"iz": F.rint(F.col("z") * 2 + 15).cast("int"), "iy": F.rint(F.col("y") + 14).cast("int"), "ix": F.rint(F.col("x") + 14).cast("int")})
+    sampled = ct.sample_vertices(volume.in_bounds(placed, _SHAPE, 4), n)
+    return sampled.join(n_, ["segment_id", "vertex_id"]).withColumn("sample_id", F.col("segment_id") * 1_000_000 + F.col("vertex_id"))
 
 
 @query(with_mesh(f"""p as (select segment_id, vertex_id, cast(round_even(z * 4, 0) as integer) + 20 iz, cast(round_even(y, 0) as integer) * 3 iy, cast(round_even(x, 0) as integer) + 2 ix from v)
