@@ -121,3 +121,25 @@ def test_texture(spark):
     shade = {r["vertex_id"]: r["shade"] for r in ct.texture(v).collect()}
     assert shade[0] == 0.0 and shade[99] == 1.0 and 0.4 < shade[50] < 0.6
     assert ct.texture(v.filter("vertex_id < 5")).first()["shade"] is None
+
+
+def test_patches_and_inference(spark):
+    """Patches are clipped and scaled, scored in batches by any function, and blended over the mask."""
+    from pyspark.sql import functions as F
+
+    from meshlens.operators import volume
+
+    fragments = spark.createDataFrame([(1, 5, 5)], "fragment_id long, height int, width int")
+    tiles = volume.tile_origins(fragments, 4, 2)
+    px = spark.createDataFrame([(1, k, y, x, 100.0 * k + 300.0 * (y == 0)) for k in range(2) for y in range(5) for x in range(5)], "fragment_id long, layer int, y int, x int, value double")
+    patches = volume.tile_patches(tiles, px, 4)
+    got = patches.first()
+    assert got["layers"] == 2 and len(got["pixels"]) == 32 and got["pixels"][0] == 1.0 and got["pixels"][16 + 4] == 0.5
+    scored = volume.infer(patches, lambda p: 4 * p.mean(axis=1) - 2, batch=3)
+    flat = scored.select("fragment_id", "y0", "x0", F.posexplode("values").alias("at", "value")).selectExpr("fragment_id", "cast(at div 4 as int) as ty", "cast(at % 4 as int) as tx", "y0 + cast(at div 4 as int) as y", "x0 + cast(at % 4 as int) as x", "value")
+    cells = px.filter("layer = 0").selectExpr("fragment_id", "y", "x", "if(x = 1, 0D, 1D) as mask")
+    out = {(r["y"], r["x"]): r["value"] for r in volume.blend(flat, 4, cells).collect()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    assert abs(out[0, 0] - sigmoid(2)) < 1e-9 and abs(out[2, 2] - sigmoid(-1)) < 1e-9 and out[2, 1] == 0.0 and out[4, 4] == 0.0
+    masks = spark.createDataFrame([(1, 255.0), (1, 0.0), (2, 1.0)], "fragment_id long, value double")
+    assert sorted((r["fragment_id"], r["value"]) for r in volume.scaled_mask(masks).collect()) == [(1, 0.0), (1, 1.0), (2, 1.0)]
