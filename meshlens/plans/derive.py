@@ -23,17 +23,17 @@ def meshes(spark: SparkSession, sf_dir: str, defects: bool = True) -> tuple[Data
         "l_suppkey as segment_id", "vertex_id", "n", "cast(vertex_id % 20 as double) as x", "cast(vertex_id div 20 as double) as y",
         "2D * l_discount + if(l_quantity >= 49, 3D, 0D) + if(l_suppkey % 2 = 0 and vertex_id div 20 >= 10, 5D, 0D) as z", "l_tax", "l_quantity",
     )
-    cells = base.filter("vertex_id % 20 < 19 and vertex_id + 21 < n and not (l_tax >= 0.08 and l_quantity > 40)")
-    corner = "segment_id, 2 * (vertex_id div 20 * 19 + vertex_id % 20) + k as face_id, vertex_id + k as v0, vertex_id + 1 + 20 * k as v1, vertex_id + 20 as v2"
-    faces = cells.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr(*corner.split(", "))
-    vertices = base.select("segment_id", "vertex_id", "x", "y", "z")
+    # what a line gives is an array: filters on the segment, unlike it, go below the windows, and each would shuffle the lines again
+    two = "array(struct({id} + 2 * (vertex_id div 20 * 19 + vertex_id % 20) as face_id, {at} as v0, {at} + 1 as v1, {at} + 20 as v2), struct({id} + 2 * (vertex_id div 20 * 19 + vertex_id % 20) + 1 as face_id, {at} + 1 as v0, {at} + 21 as v1, {at} + 20 as v2))"
+    points = ["array(struct(vertex_id, x, y, z))"]
+    cells = [("vertex_id % 20 < 19 and vertex_id + 21 < n and not (l_tax >= 0.08 and l_quantity > 40)", two.format(id="0L", at="vertex_id"))]
     if defects:
-        crossed = base.filter("segment_id % 5 = 0").selectExpr("segment_id", "vertex_id + n as vertex_id", "x", "y", "(y - 10D) * 0.5D as z")
-        second = base.filter("segment_id % 5 = 0 and x < 19 and vertex_id + 21 < n").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr("segment_id", "2 * n + 2 * (vertex_id div 20 * 19 + vertex_id % 20) + k as face_id", "n + vertex_id + k as v0", "n + vertex_id + 1 + 20 * k as v1", "n + vertex_id + 20 as v2")
-        one = base.filter("vertex_id = 0 and n > 23")
-        third = one.filter("segment_id % 7 = 0").selectExpr("segment_id", "4 * n as face_id", "21L as v0", "22L as v1", "n - 1 as v2")
-        flat = one.filter("segment_id % 13 = 0").selectExpr("segment_id", "4 * n + 1 as face_id", "5L as v0", "5L as v1", "6L as v2")
-        vertices, faces = vertices.union(crossed), faces.union(second).union(third).union(flat)
+        points.append("if(segment_id % 5 = 0, array(struct(vertex_id + n as vertex_id, x, y, (y - 10D) * 0.5D as z)), array())")
+        cells.append(("segment_id % 5 = 0 and x < 19 and vertex_id + 21 < n", two.format(id="2 * n", at="n + vertex_id")))
+        cells.append(("vertex_id = 0 and n > 23 and segment_id % 7 = 0", "array(struct(4 * n as face_id, 21L as v0, 22L as v1, n - 1 as v2))"))
+        cells.append(("vertex_id = 0 and n > 23 and segment_id % 13 = 0", "array(struct(4 * n + 1 as face_id, 5L as v0, 5L as v1, 6L as v2))"))
+    vertices = base.selectExpr("segment_id", f"explode(concat({', '.join(points)})) as p").select("segment_id", "p.*")
+    faces = base.selectExpr("segment_id", f"explode(concat({', '.join(f'if({c}, {made}, array())' for c, made in cells)})) as f").select("segment_id", "f.*")
     return vertices, faces
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -409,6 +410,17 @@ def _chunks(spark):
     return formula_chunks(spark, lambda iz, iy, ix: (iz * 7 + iy * 3 + ix * 5) % 200, _SHAPE, _EDGE)
 
 
+def _place(xyz):
+    """Voxels (iz, iy, ix) of mesh points (x, y, z) in that volume."""
+    return np.column_stack((np.rint(xyz[:, 2] * 2 + 15), np.rint(xyz[:, 1] + 14), np.rint(xyz[:, 0] + 14))).astype(int)
+
+
+def _on_segments(spark, sf_dir, work, schema: str, n: int = 500):
+    """``ct.on_segments`` over the volume, or None if that is too large to hold."""
+    volume = ct.held(_chunks(spark), _EDGE)
+    return None if volume is None else ct.on_segments(*meshes(spark, sf_dir), volume, _place, work, schema, n)
+
+
 def _samples(spark, sf_dir, n: int = 500):
     """Up to n vertices of each segment, the metrics' own sample among those in bounds, placed in the volume, with normals."""
     v, f = meshes(spark, sf_dir)
@@ -444,7 +456,9 @@ def fiber_coherence(spark, sf_dir):
 
 @query()
 def ct_layer_distance(spark, sf_dir):
-    rows = ct.layer_distance(_segments(spark, sf_dir), meshes(spark, sf_dir)[1], _samples(spark, sf_dir, 300), _chunks(spark), _EDGE, reach=40)
+    rows = _on_segments(spark, sf_dir, ct.held_layers(reach=40), ct.SCORED, 300)
+    if rows is None:
+        rows = ct.layer_distance(_segments(spark, sf_dir), meshes(spark, sf_dir)[1], _samples(spark, sf_dir, 300), _chunks(spark), _EDGE, reach=40)
     return rows.select("segment_id", _r("score"), F.size("problem_faces").alias("n_problem_faces"))
 
 

@@ -143,3 +143,35 @@ def test_patches_and_inference(spark):
     assert abs(out[0, 0] - sigmoid(2)) < 1e-9 and abs(out[2, 2] - sigmoid(-1)) < 1e-9 and out[2, 1] == 0.0 and out[4, 4] == 0.0
     masks = spark.createDataFrame([(1, 255.0), (1, 0.0), (2, 1.0)], "fragment_id long, value double")
     assert sorted((r["fragment_id"], r["value"]) for r in volume.scaled_mask(masks).collect()) == [(1, 0.0), (1, 1.0), (2, 1.0)]
+
+
+def test_peaks_of_rows():
+    """All rows at once give what ``find_peaks`` gives for each: flat tops, ties, distances."""
+    from meshlens.operators.segments import find_peaks, peak_rows
+
+    y = np.random.default_rng(3).integers(0, 6, (300, 40)).astype(float)
+    y[0], y[1, :5], y[2, -5:] = 2.0, 9.0, 9.0
+    for distance in (1, 3, 8):
+        row, at = peak_rows(y, np.median(y, axis=1), distance)
+        for k in range(len(y)):
+            assert at[row == k].tolist() == find_peaks(y[k], float(np.median(y[k])), distance).tolist()
+    assert [len(x) for x in peak_rows(np.zeros((0, 5)), np.zeros(0), 8)] == [0, 0]
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def metric_rows(df) -> dict:
+    return {r["segment_id"]: (round(r["score"], 6), r["problem_faces"]) for r in df.collect()}
+
+
+def test_held_layers(spark, sf_dir):
+    """Segments scored beside a held volume equal the joins with its chunks, and move the lines only."""
+    from meshlens import queries
+
+    parts = queries._segments(spark, sf_dir), queries.meshes(spark, sf_dir)[1], queries._samples(spark, sf_dir, 300), queries._chunks(spark), 16
+    held = metric_rows(queries._on_segments(spark, sf_dir, ct.held_layers(reach=40), ct.SCORED, 300))
+    assert held == metric_rows(ct.layer_distance(*parts, reach=40)) and any(faces for _, faces in held.values())
+    assert exchanges(queries.QUERIES["ct_layer_distance"](spark, sf_dir)) <= 2
+    assert ct.held(queries._chunks(spark), 16, most=1000) is None
