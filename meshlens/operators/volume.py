@@ -65,6 +65,18 @@ def tile_pixels(tiles: DataFrame, size: int) -> DataFrame:
     return tiles.withColumn("ty", F.explode(inner)).withColumn("tx", F.explode(inner)).withColumns({"y": F.col("y0") + F.col("ty"), "x": F.col("x0") + F.col("tx")})
 
 
+def _with(rows: DataFrame, other: DataFrame, column: str, f) -> DataFrame:
+    """rows with ``f`` over a column of the rows of ``other`` of the same pixel, null if it has none.
+
+    As a window over both: pixels made from a small table look as small to the
+    planner as that table, and a join would broadcast them; and tables dealt by
+    fragment stay where they are, which a join by pixel would shuffle.
+    """
+    pixel = ["fragment_id", "y", "x"]
+    both = rows.withColumn("_own", F.lit(True)).unionByName(other.select(*pixel, F.col(column).alias("_other")), allowMissingColumns=True)
+    return both.withColumn("_other", f("_other").over(Window.partitionBy(*pixel))).filter("_own").drop("_own")
+
+
 def covered_tiles(tiles: DataFrame, mask: DataFrame, size: int, least: float = 0.5) -> DataFrame:
     """Tiles whose mean mask exceeds ``least``; mask: fragment_id, y, x, mask."""
     got = tile_pixels(tiles, size).join(mask, ["fragment_id", "y", "x"])
@@ -89,7 +101,8 @@ def blend(predictions: DataFrame, size: int, pixels: DataFrame | None = None) ->
     out = predictions.groupBy("fragment_id", "y", "x").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.sum(F.col("value") * w) / F.sum(w))).alias("value"))
     if pixels is None:
         return out
-    return pixels.join(out, ["fragment_id", "y", "x"], "left").select("fragment_id", "y", "x", (F.coalesce("value", F.lit(0.0)) * F.col("mask")).alias("value"))
+    got = _with(pixels.select("fragment_id", "y", "x", "mask"), out, "value", F.max)
+    return got.select("fragment_id", "y", "x", (F.coalesce("_other", F.lit(0.0)) * F.col("mask")).alias("value"))
 
 
 def infer(patches: DataFrame, model, batch: int = 64) -> DataFrame:

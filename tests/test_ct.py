@@ -175,3 +175,24 @@ def test_held_layers(spark, sf_dir):
     assert held == metric_rows(ct.layer_distance(*parts, reach=40)) and any(faces for _, faces in held.values())
     assert exchanges(queries.QUERIES["ct_layer_distance"](spark, sf_dir)) <= 2
     assert ct.held(queries._chunks(spark), 16, most=1000) is None
+
+
+def pixel_plan(name: str, spark, sf_dir) -> str:
+    """The plan of a query of pixels: no join, no broadcast, and a shuffle of the fragments only."""
+    from meshlens import queries
+
+    df = queries.QUERIES[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") > 0
+    return plan
+
+
+def test_masked_blend_stays_in_place(spark, sf_dir):
+    """A fragment's pixels are never broadcast or shuffled; each asked one gives a row, whatever the tiles cover."""
+    from meshlens.operators import volume
+
+    pixel_plan("masked_blend", spark, sf_dir)
+    px = spark.createDataFrame([(1, 0, 0, 0, 0, 0, 0, 0.5), (1, 0, 0, 0, 1, 0, 1, 0.25)], "fragment_id long, y0 int, x0 int, ty int, tx int, y int, x int, value double")
+    cells = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 0, 1.0), (1, 0, 1, None), (1, 5, 5, 1.0), (2, 0, 0, 1.0)], "fragment_id long, y int, x int, mask double")
+    got = sorted(tuple(r) for r in volume.blend(px, 2, cells).fillna(-1.0).collect())
+    assert got == [(1, 0, 0, 0.5), (1, 0, 0, 0.5), (1, 0, 1, -1.0), (1, 5, 5, 0.0), (2, 0, 0, 0.0)]
