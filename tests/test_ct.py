@@ -196,3 +196,8 @@ def test_masked_blend_stays_in_place(spark, sf_dir):
     cells = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 0, 1.0), (1, 0, 1, None), (1, 5, 5, 1.0), (2, 0, 0, 1.0)], "fragment_id long, y int, x int, mask double")
     got = sorted(tuple(r) for r in volume.blend(px, 2, cells).fillna(-1.0).collect())
     assert got == [(1, 0, 0, 0.5), (1, 0, 0, 0.5), (1, 0, 1, -1.0), (1, 5, 5, 0.0), (2, 0, 0, 0.0)]
+
+
+def test_training_loss_stays_in_place(spark, sf_dir):
+    """Losses of the masked blend need neither a join nor a shuffle of pixels."""
+    assert "HashAggregate" in pixel_plan("training_loss", spark, sf_dir)
