@@ -79,8 +79,8 @@ def _with(rows: DataFrame, other: DataFrame, column: str, f) -> DataFrame:
 
 def covered_tiles(tiles: DataFrame, mask: DataFrame, size: int, least: float = 0.5) -> DataFrame:
     """Tiles whose mean mask exceeds ``least``; mask: fragment_id, y, x, mask."""
-    got = tile_pixels(tiles, size).join(mask, ["fragment_id", "y", "x"])
-    return got.groupBy("fragment_id", "y0", "x0").agg((F.sum("mask") / (size * size)).alias("coverage")).filter(F.col("coverage") > least)
+    got = _with(tile_pixels(tiles, size).select("fragment_id", "y", "x", "y0", "x0"), mask, "mask", F.sum)
+    return got.groupBy("fragment_id", "y0", "x0").agg((F.sum("_other") / (size * size)).alias("coverage")).filter(F.col("coverage") > least)
 
 
 def gaussian_weight(size: int):

@@ -201,3 +201,13 @@ def test_masked_blend_stays_in_place(spark, sf_dir):
 def test_training_loss_stays_in_place(spark, sf_dir):
     """Losses of the masked blend need neither a join nor a shuffle of pixels."""
     assert "HashAggregate" in pixel_plan("training_loss", spark, sf_dir)
+
+
+def test_tile_coverage_stays_in_place(spark, sf_dir):
+    """Tiles meet the mask without a join; tiles without a mask, and missing pixels, as before."""
+    from meshlens.operators import volume
+
+    pixel_plan("tile_coverage", spark, sf_dir)
+    tiles = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 0, 0)], "fragment_id long, y0 int, x0 int")
+    mask = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, 1.0), (1, 1, 1, 1.0), (1, 1, 2, None), (3, 0, 0, 1.0)], "fragment_id long, y int, x int, mask double")
+    assert [tuple(r) for r in volume.covered_tiles(tiles, mask, 2).collect()] == [(1, 0, 0, 0.75)]
