@@ -464,6 +464,9 @@ def ct_layer_distance(spark, sf_dir):
 
 @query()
 def ct_alignment(spark, sf_dir):
+    rows = _on_segments(spark, sf_dir, ct.held_alignment(4, 2.0), ct.ALIGNED)
+    if rows is not None:
+        return rows
     s = _samples(spark, sf_dir)
     angles = ct.normal_angles(s, ct.cube_normals(ct.cubes(s, _chunks(spark), 4, _EDGE), 4, 2.0))
     values = ct.chunk_values(s.select("segment_id", "iz", "iy", "ix"), _chunks(spark), _EDGE, parts=4)

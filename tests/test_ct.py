@@ -211,3 +211,27 @@ def test_tile_coverage_stays_in_place(spark, sf_dir):
     tiles = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 0, 0)], "fragment_id long, y0 int, x0 int")
     mask = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, 1.0), (1, 1, 1, 1.0), (1, 1, 2, None), (3, 0, 0, 1.0)], "fragment_id long, y int, x int, mask double")
     assert [tuple(r) for r in volume.covered_tiles(tiles, mask, 2).collect()] == [(1, 0, 0, 0.75)]
+
+
+def rough(spark):
+    """A volume of noise with faint layers, held and as chunks."""
+    chunks = formula_chunks(spark, lambda z, y, x: (z * 7 + (z * 7919 + y * 104729 + x * 1299709) * (z + 3 * y + 5 * x) % 211).astype(float), (48, 48, 48), 16)
+    return chunks, ct.held(chunks, 16)
+
+
+def test_held_alignment(spark, sf_dir):
+    """Figures of segments beside a held volume equal those of the joins with its chunks."""
+    from meshlens import queries
+
+    chunks, volume = rough(spark)
+    s = queries._samples(spark, sf_dir, 60)
+    angles = ct.normal_angles(s, ct.cube_normals(ct.cubes(s, chunks, 4, 16), 4, 2.0))
+    want = ct.alignment(s, (48, 48, 48), ct.chunk_values(s.select("segment_id", "iz", "iy", "ix"), chunks, 16, parts=4), angles)
+    got = ct.on_segments(*queries.meshes(spark, sf_dir), volume, queries._place, ct.held_alignment(4, 2.0), ct.ALIGNED, 60)
+    assert got.dtypes == want.dtypes
+    for a, b in zip(*(sorted(map(tuple, x.collect())) for x in (got, want)), strict=True):
+        assert a[0] == b[0] and a[-1] == b[-1] and a[1:-1] == pytest.approx(b[1:-1], abs=1e-9)
+    assert exchanges(queries.QUERIES["ct_alignment"](spark, sf_dir)) <= 2
+    far = spark.createDataFrame([(1, 0, 900.0, 0.0, 0.0)], "segment_id long, vertex_id long, x double, y double, z double")
+    none = queries.meshes(spark, sf_dir)[1].filter("false")
+    assert ct.on_segments(far, none, volume, queries._place, ct.held_alignment(4, 2.0), ct.ALIGNED).collect() == []
