@@ -41,6 +41,22 @@ def _degrees(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.degrees(np.arccos(np.clip((a * b).sum(axis=1), -1, 1)))
 
 
+def vertex_fans(tri: np.ndarray, n: int) -> np.ndarray:
+    """Edge-connected groups of the triangles around each of n vertices; tri: rows of three places."""
+    m = len(tri)
+    u = np.concatenate([tri[:, k] for k in (0, 1, 2)]).astype(np.int64)
+    w = np.concatenate([tri[:, k] for k in (1, 2, 0)]).astype(np.int64)
+    key, face = np.minimum(u, w) * (n + 1) + np.maximum(u, w), np.tile(np.arange(m), 3)
+    order = np.lexsort((face, key))
+    key, face = key[order], face[order]
+    same = np.flatnonzero((key[:-1] == key[1:]) & (face[:-1] != face[1:]))
+    u, w, a, b = key[same] // (n + 1), key[same] % (n + 1), face[same], face[same + 1]
+    inc = np.unique((tri.astype(np.int64) * m + np.arange(m)[:, None]).ravel())
+    at = lambda v, f: np.searchsorted(inc, v * m + f)
+    lab = labels(len(inc), np.concatenate((at(u, a), at(w, a))), np.concatenate((at(u, b), at(w, b))))
+    return np.bincount(inc[np.unique(lab)] // m, minlength=n)
+
+
 class Adjacency:
     """Neighbours of n nodes, each once and without the node itself, by rows."""
 
@@ -206,13 +222,7 @@ class Segment:
     def topology(self):
         n = len(self.tri)
         edge_ok = self.edge_counts.max() <= 2
-        inc = np.unique((self.tri.astype(np.int64) * n + np.arange(n)[:, None]).ravel())
-        same = np.flatnonzero((self.key[:-1] == self.key[1:]) & (self.face[:-1] != self.face[1:]))
-        u, w = self.ends(self.key[same])
-        a, b = self.face[same], self.face[same + 1]
-        at = lambda v, f: np.searchsorted(inc, v * n + f)
-        lab = labels(len(inc), np.concatenate((at(u, a), at(w, a))), np.concatenate((at(u, b), at(w, b))))
-        fans = np.bincount(inc[np.unique(lab)] // n, minlength=len(self.xyz))
+        fans = vertex_fans(self.tri, len(self.xyz))
         vertex_ok = (fans <= 1).all()
         parts = len(np.unique(labels(n, self.i, self.j)))
         odd = int((self.edge_counts != 2).sum())
@@ -369,6 +379,17 @@ def deviations(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return vertices.groupBy("segment_id").cogroup(faces.groupBy("segment_id")).applyInPandas(run, "segment_id long, face_id long, deviation double")
 
 
+def pinched(faces: DataFrame) -> DataFrame:
+    """segment_id, n_pinched, n_vertices: vertices of faces with more than one fan (``graph.vertex_fans``), and all."""
+
+    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+        ids, tri = np.unique(f[["v0", "v1", "v2"]].to_numpy(), return_inverse=True)
+        fans = vertex_fans(tri.reshape(-1, 3), len(ids))
+        return pd.DataFrame({"segment_id": [key[0]], "n_pinched": [int((fans > 1).sum())], "n_vertices": [len(ids)]})
+
+    return faces.groupBy("segment_id").applyInPandas(run, "segment_id long, n_pinched long, n_vertices long")
+
+
 def neighbours(points: DataFrame, k: int, columns: tuple[str, ...] = ("x", "y", "z"), key: str = "vertex_id") -> DataFrame:
     """segment_id, key, rank, neighbour, d2: k nearest of each point in its segment, self first."""
 

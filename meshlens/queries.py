@@ -149,8 +149,7 @@ _FANS = """en as (select distinct segment_id, face_id, u, w, unnest([u, w]) vx f
 
 @query(with_mesh(_FANS + " select * from vm"))
 def vertex_manifold(spark, sf_dir):
-    fans = graph.vertex_fans(meshes(spark, sf_dir)[1])
-    return fans.groupBy("segment_id").agg(F.sum((F.col("fans") > 1).cast("long")).alias("n_pinched"), F.count("*").alias("n_vertices"))
+    return segments.pinched(meshes(spark, sf_dir)[1])
 
 
 @query(with_mesh("""st as (select segment_id, u a, w b from m where u < w union select segment_id, w, u from m where u < w),

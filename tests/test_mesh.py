@@ -165,3 +165,19 @@ def test_metric_registry(spark):
 def test_worst_metric_ties_go_by_report_order(spark):
     rows = spark.createDataFrame([(1, "noise", 0.5, {}, None, None), (1, "topology", 0.5, {}, None, None), (1, "layer_distance", 0.0, {}, None, None)], segments.RESULT)
     assert scoring.ranking(scoring.weigh(rows)).first()["worst_metric"] == "topology"
+
+
+def test_pinched_vertices(spark, sf_dir):
+    """Fans counted where a segment's faces meet equal the joins', and the lines are shuffled once."""
+    from meshlens import queries
+    from meshlens.operators import graph, segments
+    from pyspark.sql import functions as F
+
+    odd = [(1, 0, 0, 1, 2), (1, 1, 0, 3, 4), (1, 2, 0, 2, 3), (1, 3, 0, 5, 6), (2, 0, 5, 5, 6), (2, 1, 6, 5, 7), (2, 2, 9, 9, 9), (3, 0, 0, 1, 2), (3, 1, 0, 1, 3), (3, 2, 1, 0, 4)]
+    drawn = spark.createDataFrame(odd, "segment_id long, face_id long, v0 long, v1 long, v2 long")
+    for f in (drawn, queries.meshes(spark, sf_dir)[1]):
+        want = graph.vertex_fans(f).groupBy("segment_id").agg(F.count_if(F.col("fans") > 1), F.count("*"))
+        assert sorted(map(tuple, segments.pinched(f).collect())) == sorted(map(tuple, want.collect()))
+    assert dict((r["segment_id"], r["n_pinched"]) for r in segments.pinched(drawn).collect()) == {1: 1, 2: 0, 3: 0}
+    plan = queries.QUERIES["vertex_manifold"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
