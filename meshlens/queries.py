@@ -442,7 +442,9 @@ def _segments(spark, sf_dir):
 
 @query()
 def ct_sheet_switching(spark, sf_dir):
-    rows = ct.ct_sheet_switching(_segments(spark, sf_dir), meshes(spark, sf_dir)[1], _samples(spark, sf_dir), _chunks(spark), _EDGE, half=4, sigma=2.0)
+    rows = _on_segments(spark, sf_dir, ct.held_switching(half=4, sigma=2.0), ct.SCORED)
+    if rows is None:
+        rows = ct.ct_sheet_switching(_segments(spark, sf_dir), meshes(spark, sf_dir)[1], _samples(spark, sf_dir), _chunks(spark), _EDGE, half=4, sigma=2.0)
     return rows.select("segment_id", _r("score"), F.size("problem_faces").alias("n_problem_faces"))
 
 

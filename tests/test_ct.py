@@ -235,3 +235,16 @@ def test_held_alignment(spark, sf_dir):
     far = spark.createDataFrame([(1, 0, 900.0, 0.0, 0.0)], "segment_id long, vertex_id long, x double, y double, z double")
     none = queries.meshes(spark, sf_dir)[1].filter("false")
     assert ct.on_segments(far, none, volume, queries._place, ct.held_alignment(4, 2.0), ct.ALIGNED).collect() == []
+
+
+def test_held_switching(spark, sf_dir):
+    from meshlens import queries
+
+    chunks, volume = rough(spark)
+    v, f = queries.meshes(spark, sf_dir)
+    got = metric_rows(ct.on_segments(v, f, volume, queries._place, ct.held_switching(4, 2.0), ct.SCORED))
+    want = metric_rows(ct.ct_sheet_switching(queries._segments(spark, sf_dir), f, queries._samples(spark, sf_dir), chunks, 16, half=4, sigma=2.0))
+    assert got == want and any(faces for _, faces in got.values())
+    bare = metric_rows(ct.on_segments(v, f.filter("segment_id > 3"), volume, queries._place, ct.held_switching(4, 2.0), ct.SCORED))
+    assert bare[1] == (1.0, None) and bare[5] == got[5]
+    assert exchanges(queries.QUERIES["ct_sheet_switching"](spark, sf_dir)) <= 2
