@@ -450,9 +450,12 @@ def ct_sheet_switching(spark, sf_dir):
 
 @query()
 def fiber_coherence(spark, sf_dir):
-    s = _samples(spark, sf_dir, 300)
-    fibers = ct.cube_fibers(ct.cubes(s, _chunks(spark), 4, _EDGE), 4)
-    return ct.fiber_coherence(_segments(spark, sf_dir), meshes(spark, sf_dir)[1], s, fibers).select("segment_id", _r("score"), F.size("problem_faces").alias("n_problem_faces"))
+    rows = _on_segments(spark, sf_dir, ct.held_coherence(4), ct.SCORED, 300)
+    if rows is None:
+        s = _samples(spark, sf_dir, 300)
+        fibers = ct.cube_fibers(ct.cubes(s, _chunks(spark), 4, _EDGE), 4)
+        rows = ct.fiber_coherence(_segments(spark, sf_dir), meshes(spark, sf_dir)[1], s, fibers)
+    return rows.select("segment_id", _r("score"), F.size("problem_faces").alias("n_problem_faces"))
 
 
 @query()

@@ -248,3 +248,19 @@ def test_held_switching(spark, sf_dir):
     bare = metric_rows(ct.on_segments(v, f.filter("segment_id > 3"), volume, queries._place, ct.held_switching(4, 2.0), ct.SCORED))
     assert bare[1] == (1.0, None) and bare[5] == got[5]
     assert exchanges(queries.QUERIES["ct_sheet_switching"](spark, sf_dir)) <= 2
+
+
+def test_held_coherence(spark, sf_dir):
+    from meshlens import queries
+
+    chunks, volume = rough(spark)
+    v, f = queries.meshes(spark, sf_dir)
+    for n in (80, 8):
+        s = queries._samples(spark, sf_dir, n)
+        want = metric_rows(ct.fiber_coherence(queries._segments(spark, sf_dir), f, s, ct.cube_fibers(ct.cubes(s, chunks, 4, 16), 4)))
+        got = metric_rows(ct.on_segments(v, f, volume, queries._place, ct.held_coherence(4), ct.SCORED, n))
+        assert got == want and any(faces for _, faces in got.values())
+    assert {score for score, _ in got.values()} == {1.0}
+    bare = metric_rows(ct.on_segments(v, f.filter("segment_id > 3"), volume, queries._place, ct.held_coherence(4), ct.SCORED, 80))
+    assert bare[2] == (0.0, None)
+    assert exchanges(queries.QUERIES["fiber_coherence"](spark, sf_dir)) <= 2
