@@ -47,6 +47,26 @@ _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _PROBES = ("The", "thanedble,", "Éaux.", "weiß!!", "don", "a", "Straße---", "ñÑ?", "x%%%", "ZZZ***", "öÖ|", "re", "lls;")
 
 
+class _Words(dict):
+    """Ids by word; one that isn't there is taken from the older generation, or encoded, as it is looked up."""
+
+    def __init__(self, encoder: WordEncoder, old: dict[bytes, bytes]):
+        self.old, self.fullmatch, self.simple, self.whole, self.odd = old, _SIMPLE.fullmatch, encoder._simple, encoder._whole, 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            text = word.decode("utf-8", "replace")
+            parts = self.fullmatch(text)
+            if parts:
+                found = self.simple(parts[1], parts[2])
+            else:
+                self.odd += 1
+                found = self.whole(text)
+        self[word] = found
+        return found
+
+
 class WordEncoder:
     """Token ids of texts, word by word, with the words' ids kept.
 
@@ -68,14 +88,16 @@ class WordEncoder:
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.signs: dict[str, bytes] = {"": b""}
+        self.tokenize = self.tokenizer.model.tokenize  # each access of the model makes an object
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in kept]
         #: the byte-level alphabet: bytes without a printable sign follow from 256 on
         self.alphabet = {b: b for b in kept} | {b: 256 + i for i, b in enumerate(rest)}
         try:
-            self.direct = all(self._simple(*_SIMPLE.fullmatch(w).groups()) == self._whole(w) for w in _PROBES)
+            self.simple = all(self._simple(*_SIMPLE.fullmatch(w).groups()) == self._whole(w) for w in _PROBES)
         except Exception:
-            self.direct = False
+            self.simple = False
+        self.direct = self.simple  # words are encoded as they are looked up
 
     def _check(self, path: str) -> None:
         """Raise unless the tokenizer cuts at white space and drops it, so that words may be encoded alone."""
@@ -91,7 +113,9 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _simple(self, letters: str, signs: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize(letters.lower().encode().decode("latin-1").translate(self.alphabet))
+        low = letters.lower()
+        # letters of ASCII stand for their own bytes
+        tokens = self.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet))
         if signs not in self.signs:
             if len(self.signs) > 10_000:
                 self.signs = {"": b""}
@@ -102,7 +126,7 @@ class WordEncoder:
         return ids.tobytes() + self.signs[signs]
 
     def _learn(self, words: list[bytes]) -> None:
-        if self.direct:
+        if self.simple:
             rest = []
             for w in words:
                 found = _SIMPLE.fullmatch(w.decode("utf-8", "replace"))
@@ -124,9 +148,18 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
         if len(self.memo) > MEMO_WORDS:
-            self.old, self.memo = self.memo, {}
+            self.old, self.memo = dict(self.memo), {}
+        if self.direct:
+            # new words are rare enough to encode where they occur, which spares the set of all words
+            if not isinstance(self.memo, _Words):
+                self.memo = _Words(self, self.old)
+            known = self.memo.__getitem__
+            out = [b"".join(map(known, t.split())) for t in texts]
+            if self.memo.odd > max(1000, len(self.memo) // 20):  # many that only the whole tokenizer knows: many at once
+                self.direct, self.memo = False, dict(self.memo)
+            return out
+        split = [t.split() for t in texts]
         new = set().union(*split).difference(self.memo)
         known = new.intersection(self.old) if self.old else ()
         for w in known:

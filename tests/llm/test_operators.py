@@ -700,3 +700,22 @@ def test_pipeline_odd(spark, odd_docs, no_docs):
                 docs = spark.createDataFrame(out.collect(), docs.schema)
             else:
                 assert {x["doc_id"] for x in rows(out)} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_packing_encodes_words_as_they_are_looked_up(monkeypatch):
+    """The set of all words is not made; many words that only the whole tokenizer knows go back to it; both give its ids."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    ids = lambda t: np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    usual = ["The weiß!! cat, don't ÉAUX. x1 \u4e2d\u6587 a%%", "", "  Cat, the\tcat\n"]
+    monkeypatch.setattr(packing, "MEMO_WORDS", 4)  # generations follow one another
+    encoder = packing.WordEncoder(tokenizer("word_bpe_49k.json"))
+    monkeypatch.setattr(encoder, "_learn", None)
+    for text in usual * 3:
+        assert encoder.encode([text.encode()]) == [ids(text)]
+    assert encoder.direct
+    odd = [" ".join(f"{k}x{k}" for k in range(a, a + 700)) for a in (0, 700, 1400)]
+    monkeypatch.undo()
+    other = packing.WordEncoder(tokenizer("word_bpe_49k.json"))
+    assert [other.encode([t.encode()])[0] for t in odd + usual] == [ids(t) for t in odd + usual] and not other.direct
