@@ -265,7 +265,8 @@ def _fillings(space: int, sizes: list[int], counts: Counter, waste: int, budget:
             sums |= sums << (n * s)
             left -= n
             n *= 2
-        reach.append(sums & full)
+        sums &= full
+        reach.append(reach[-1] if sums == reach[-1] else sums)  # once all sums are reached, one object
     chosen: list[tuple[int, int]] = []
 
     def undominated(lost: int) -> bool:
@@ -295,11 +296,14 @@ def _fillings(space: int, sizes: list[int], counts: Counter, waste: int, budget:
                         return
             k -= 1
 
-    for lost in range(min(waste, space) + 1):
-        if reach[-1] >> (space - lost) & 1:
-            yield from descend(space - lost, len(reach) - 1, lost)
-        if budget[0] <= 0:
-            return
+    try:
+        for lost in range(min(waste, space) + 1):
+            if reach[-1] >> (space - lost) & 1:
+                yield from descend(space - lost, len(reach) - 1, lost)
+            if budget[0] <= 0:
+                return
+    finally:
+        descend = None  # it refers to itself: what it holds would wait for the collector of cycles
 
 
 def _fullest(counts: Counter, capacity: int) -> int:
@@ -344,7 +348,7 @@ def bin_completion(counts: Counter, capacity: int, nodes: int = 3000, effort: in
             out.append(step)
         return out[::-1]
 
-    def options(own: np.ndarray, wasted: int, place: list) -> Iterator[tuple[Pattern, int, int]]:
+    def options(wasted: int, place: list) -> Iterator[tuple[Pattern, int, int]]:
         """(pattern, how often, waste of one) around the largest length, from ``place`` on, which follows."""
         sizes = np.flatnonzero(own).tolist()
         here = Counter({s: int(own[s]) for s in sizes})
@@ -368,45 +372,52 @@ def bin_completion(counts: Counter, capacity: int, nodes: int = 3000, effort: in
                 if not once or often > 1:
                     yield tuple(sorted(chosen.items(), reverse=True)), 1 if once else often, lost
 
-    # A branch is its counts, its options that are left, its place among them, the steps so far (a linked list), its bins and its waste.
+    # A branch is its options that are left, its place among them, the steps so far (a linked list), its bins and its waste.
     # Only the last OPEN branches hold their options; the others make them anew from their place.
+    # ``own`` has the counts of the last branch alone: steps are taken from it, and given back when their branch is left.
     stack: list[list] = []
+    own = np.zeros(capacity + 1, np.int64)
+    for s, n in counts.items():
+        own[s] = n
 
-    def enter(own: np.ndarray, made: tuple | None, bins: int, wasted: int) -> None:
+    def give(pattern: Pattern, often: int) -> None:
+        for s, k in pattern:
+            own[s] += k * often
+
+    def enter(made: tuple | None, bins: int, wasted: int) -> bool:
         nonlocal incumbent, best
         sizes = np.flatnonzero(own).tolist()
         if not sizes:
             if bins < best:
                 incumbent, best = listed(made), bins
-            return
+            return False
         if bins + -(-int(own @ lengths) // capacity) >= best:
-            return
+            return False
         if left % 16 == 0:  # an incumbent: this start, completed by best fit
             rest = best_fit(Counter({s: int(own[s]) for s in sizes}), capacity)
             if bins + sum(n for _, n in rest) < best:
                 incumbent, best = listed(made) + rest, bins + sum(n for _, n in rest)
-        stack.append([own, None, [False, 0], made, bins, wasted])
+        stack.append([None, [False, 0], made, bins, wasted])
         if len(stack) > OPEN:
-            stack[-1 - OPEN][1] = None
+            stack[-1 - OPEN][0] = None
+        return True
 
-    start = np.zeros(capacity + 1, np.int64)
-    for s, n in counts.items():
-        start[s] = n
-    enter(start, None, 0, 0)
+    enter(None, 0, 0)
     while stack and left > 0 and budget[0] > 0 and best > bound:
-        own, more, place, made, bins, wasted = stack[-1]
+        more, place, made, bins, wasted = stack[-1]
         if more is None:
-            more = stack[-1][1] = options(own, wasted, place)
+            more = stack[-1][0] = options(wasted, place)
         step = next(more, None)
         if step is None:
             stack.pop()
+            if made:
+                give(*made[1])
             continue
         left -= 1
         pattern, often, lost = step
-        after = own.copy()
-        for s, k in pattern:
-            after[s] -= k * often
-        enter(after, (made, (pattern, often)), bins + often, wasted + lost * often)
+        give(pattern, -often)
+        if not enter((made, (pattern, often)), bins + often, wasted + lost * often):
+            give(pattern, often)
     return incumbent
 
 

@@ -309,6 +309,21 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert sum(n for _, n in found) == _fewest(items, 30)
 
 
+def test_bin_completion_holds_little():
+    """The search holds one histogram and the options of its last branches, not those of branches that it has left."""
+    import tracemalloc
+
+    r = random.Random(1)
+    lengths = Counter(r.randint(1, 2048) for _ in range(20_000))
+    tracemalloc.start()
+    try:
+        packing.bin_completion(lengths, 2048)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6
+
+
 def test_bin_completion_beats_best_fit():
     """Bins of three or four pieces, where best fit wastes a tenth of the space."""
     for lo, hi, most in ((600, 760, 1002), (400, 900, 1000), (300, 700, 750)):
