@@ -502,9 +502,14 @@ def problem_clusters(spark, sf_dir):
 _FRAGMENTS = "select s_suppkey fragment_id, cast(40 + s_suppkey % 7 as integer) height, cast(50 + s_suppkey % 5 as integer) width from supplier"
 
 
-def _fragments(spark, sf_dir, parts: int = 96):
-    """Fragments dealt by their id before they grow to tiles and pixels, which then need no shuffle."""
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").repartition(parts, "s_suppkey").select(F.col("s_suppkey").alias("fragment_id"), (40 + F.col("s_suppkey") % 7).cast("int").alias("height"), (50 + F.col("s_suppkey") % 5).cast("int").alias("width"))
+def _fragments(spark, sf_dir, parts: int = 96, each: int = 64):
+    """Fragments dealt by their id before they grow to tiles and pixels, which then need no shuffle.
+
+    A task sorts the pixels of its fragments, ``each`` on average at most.
+    """
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    parts = max(parts, -(-own.count() // each))
+    return own.repartition(parts, "s_suppkey").select(F.col("s_suppkey").alias("fragment_id"), (40 + F.col("s_suppkey") % 7).cast("int").alias("height"), (50 + F.col("s_suppkey") % 5).cast("int").alias("width"))
 
 
 @query(f"with f as ({_FRAGMENTS}), y as (select fragment_id, width, unnest(range(0, height - 15, 8)) y0 from f) select fragment_id, cast(y0 as integer) y0, cast(unnest(range(0, width - 15, 8)) as integer) x0 from y")

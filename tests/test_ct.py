@@ -203,6 +203,17 @@ def test_training_loss_stays_in_place(spark, sf_dir):
     assert "HashAggregate" in pixel_plan("training_loss", spark, sf_dir)
 
 
+def test_fragments_of_a_task_are_bounded(spark, tmp_path):
+    """More fragments go to more tasks: what a task holds doesn't grow with their number."""
+    from meshlens import queries
+
+    spark.range(20_000).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    for name in ("training_loss", "masked_blend", "tile_coverage"):
+        plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_NUM") == plan.count(", 313), REPARTITION_BY_NUM") > 0
+    assert queries._fragments(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 96
+
+
 def test_tile_coverage_stays_in_place(spark, sf_dir):
     """Tiles meet the mask without a join; tiles without a mask, and missing pixels, as before."""
     from meshlens.operators import volume
